@@ -117,13 +117,15 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     """Fit on (doc_id, text, lang). Rows with a null or empty text or a null language don't count; None if
     no row is left. The sample takes the rows with the smallest hashes of their ids, about ``per_language``
     of each language, found by a rate for each language: no sort, and no language meets in one task."""
-    usable = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    known = labelled.filter("lang IS NOT NULL").select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     if not counts:
         return None
     rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)]), F.col("lang"))
     u = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    points = features(usable.filter(u < rate)).toArrow()
+    points = features(known.filter(u < rate).filter("text IS NOT NULL AND text <> ''")).toArrow()
+    if not points.num_rows:
+        return None
     langs = np.array(points.column("lang").to_pylist())
     x = points.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 1 << DIM_BITS)
     order = np.lexsort(([zlib.crc32(r.tobytes()) for r in x], langs))  # the same order whatever the partitions
