@@ -18,7 +18,7 @@ from tidewater.llm.common import documents
 from tidewater.llm.text_spans import folded
 
 #: Edits allowed, as a share of an item's characters.
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Items handled in one pass: what a task holds in memory. More items take more passes, in blocks.
 ITEMS_PER_PASS = 20_000
 
