@@ -41,7 +41,7 @@ def frequencies(df: DataFrame, c: str) -> DataFrame:
 
 def smoothed_rates(df: DataFrame, by: str, flag: str) -> DataFrame:
     """AGG-07: counts of both classes side by side and the smoothed rate (n1 + 1) / (n + 2)."""
-    p = df.groupBy(by).pivot(flag, [0, 1]).agg(F.count("*")).na.fill(0)
+    p = df.groupBy(by).pivot(flag, [0, 1]).agg(F.count(F.lit(1))).na.fill(0)
     return p.select(by, F.col("`0`").alias("n0"), F.col("`1`").alias("n1"), ((F.col("`1`") + 1) / (F.col("`0`") + F.col("`1`") + 2)).alias("smoothed_rate"))
 
 
