@@ -157,8 +157,8 @@ def coded(spark, d):
 
 
 SKY_SQL = f"""s AS (SELECT *, {SKY} AS sky, {WX} AS wx, CASE WHEN event_id % 11 = 0 THEN 10.0 ELSE least(value / 4, 10) END AS v, value - 20 AS t FROM events),
-k AS (SELECT *, CASE event_id % 6 WHEN 2 THEN 10000 WHEN 3 THEN 500 WHEN 4 THEN 0 ELSE 99999 END AS ceiling, CASE event_id % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 3.0 WHEN 3 THEN 4.0 WHEN 4 THEN 5.0 ELSE 3.0 END AS cloud_risk_score,
-  CASE WHEN v < 0.5 THEN 5.0 WHEN v < 1 THEN 4.0 WHEN v < 3 THEN 3.0 WHEN v < 5 THEN 2.0 WHEN v < 10 THEN 1.0 ELSE 0.0 END AS vr FROM s)"""
+k AS (SELECT *, CASE event_id % 6 WHEN 2 THEN 10000 WHEN 3 THEN 500 WHEN 4 THEN 0 ELSE 99999 END AS ceiling, CASE event_id % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 3.0 WHEN 3 THEN 4.0 WHEN 4 THEN 5.0 ELSE 3.0 END::DOUBLE AS cloud_risk_score,
+  CASE WHEN v < 0.5 THEN 5.0 WHEN v < 1 THEN 4.0 WHEN v < 3 THEN 3.0 WHEN v < 5 THEN 2.0 WHEN v < 10 THEN 1.0 ELSE 0.0 END::DOUBLE AS vr FROM s)"""
 
 
 @query(f"""WITH {SKY_SQL} SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'CLR' WHEN 2 THEN 'BKN' WHEN 3 THEN 'OVC' WHEN 4 THEN 'VV' ELSE 'BKN' END AS most_critical_sky,
