@@ -50,7 +50,7 @@ def column_metadata(df: DataFrame, overrides: dict[str, str] | None = None, appr
     ``approximate`` counts distinct values by sketches, for wide tables at scale."""
     distinct = F.approx_count_distinct if approximate else F.countDistinct
     aggs = [a for i, c in enumerate(df.columns) for a in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), distinct(F.col(f"`{c}`")).alias(f"d{i}"))]
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(kind_of(df.schema[c].dataType)).alias("kind"), (F.col(f"n{i}") / F.col("total")).alias("completeness"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(df.columns)]
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(kind_of(df.schema[c].dataType)).alias("kind"), (F.col(f"n{i}") / F.nullif(F.col("total"), F.lit(0))).alias("completeness"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(df.columns)]
     out = df.agg(F.count("*").alias("total"), *aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     for c, kind in (overrides or {}).items():
         out = out.withColumn("kind", F.when(F.col("column") == c, kind).otherwise(F.col("kind")))

@@ -9,8 +9,15 @@ from pyspark.sql import types as T
 
 from tidewater.operators.schema import require
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
+
+
+def _schema(fields: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
+
+
 #: Columns of the flight table, in file order.
-FLIGHTS = T.StructType.fromDDL(
+FLIGHTS = _schema(
     "FL_DATE string, OP_CARRIER_AIRLINE_ID int, OP_CARRIER_FL_NUM int, ORIGIN_AIRPORT_ID int, DEST_AIRPORT_ID int, CRS_DEP_TIME int, ARR_DELAY_NEW double, "
     "CANCELLED double, DIVERTED double, CRS_ELAPSED_TIME double, WEATHER_DELAY double, NAS_DELAY double, UNUSED_COL string"
 )
@@ -22,10 +29,10 @@ OBSERVED = {
     "WindSpeed": "double", "WindDirection": "double", "ValueForWindCharacter": "string", "StationPressure": "double", "PressureTendency": "string",
     "PressureChange": "double", "SeaLevelPressure": "string", "RecordType": "string", "HourlyPrecip": "string", "Altimeter": "double",
 }
-WEATHER = T.StructType.fromDDL(
+WEATHER = _schema(
     "WBAN string, Date string, Time string, " + ", ".join(f"{c} {t}" + ("" if c == "StationType" else f", {c}Flag string") for c, t in OBSERVED.items())
 )
-AIRPORTS = T.StructType.fromDDL("AirportID int, WBAN string, TimeZone int")
+AIRPORTS = _schema("AirportID int, WBAN string, TimeZone int")
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, header: bool = True, multi_line: bool = False, date_columns: dict[str, str] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
