@@ -22,7 +22,7 @@ from tidewater.llm.common import documents, shared_dir, small_enough, whole_text
 
 BLOCK_IDS = 65536
 END_ID = 0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 MAX_BROADCAST_SHARDS = 100_000
 
 BLOCKS = "shard int, block int, first_id bigint, n_ids int, n_planes int, raw_bytes bigint, stored_bytes bigint, planes array<binary>, docs array<struct<doc_id:{id},start:bigint,n_tokens:bigint>>"
@@ -96,6 +96,16 @@ class WordIds:
         return out
 
 
+_loaded: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The tokenizer of this Python worker: loaded once, its cache kept from task to task."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text", id_col: str = "doc_id", unit: str = "bit", end_id: int = END_ID, level: int = 3) -> None:
     """Write ``docs`` as token files under ``path`` (a folder that all executors reach), ordered by id;
     equal ids are ordered by text, null ids come first. Null texts are empty: their only id is the end id.
@@ -115,7 +125,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "t
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, press = WordIds(tokenizer), zstandard.ZstdCompressor(level)
+        words, press = word_ids(tokenizer), zstandard.ZstdCompressor(level)
         shard, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         held, held_bytes, held_docs, block, first = [], 0, [], 0, 0
         kind = None
