@@ -21,7 +21,9 @@ def corpus(spark, tmp_path_factory):
     rows = [(k, speak(lang := ("en", "de", "fr", "es")[k % 4], rnd, rnd.randint(5, 80)), lang, f"s{k % 3}", 0) for k in range(160)]
     rows += [(200 + k, rows[k][1] + (" end" if k % 2 else ""), rows[k][2], "s1", 0) for k in range(20)]
     rows += [(300, "12 34", None, None, 0), (301, None, "en", "s2", 0), (302, f"{speak('en', rnd, 9)} {item} {speak('en', rnd, 9)}", "en", "s2", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    # columns in another order, and more of them, with names that operators use themselves
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("1 AS copies", "text", "2 AS threshold", "lang", "doc_id", "source", "n_chars", "'x' AS tokens")
+    docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return str(d), rows
 

@@ -120,10 +120,11 @@ def mixed_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """The mix itself: the rows of ``docs`` as often as ``mix`` takes them. Only the narrow (source, hash,
     size) table is summed; the documents are read once more and filtered in place."""
     sizes = stored(docs.select(F.col(source).alias("source"), n_words(text).alias("size"), doc_hash(id_col).alias("hash")), "mix-sizes")
-    found = thresholds(sizes, stored(targets(sizes, share, most), "mix-goals")).select(F.col("source").alias("_source"), "copies", "threshold")
-    times = F.col("copies") + (doc_hash(id_col) < F.col("threshold")).cast("int")
-    met = docs.join(spread(found), F.col(source).eqNullSafe(F.col("_source")))
-    return met.withColumn("_once", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    names = {"source": "__mix_source", "copies": "__mix_copies", "threshold": "__mix_threshold"}
+    found = thresholds(sizes, stored(targets(sizes, share, most), "mix-goals")).select(*[F.col(c).alias(n) for c, n in names.items()])
+    times = F.col("__mix_copies") + (doc_hash(id_col) < F.col("__mix_threshold")).cast("int")
+    met = docs.join(spread(found), F.col(source).eqNullSafe(F.col("__mix_source")))
+    return met.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
