@@ -100,15 +100,18 @@ def norms(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalized kernel values of ``words`` (rows) against ``landmarks``."""
     owner, code, weight = subsequences(landmarks)
-    table = np.zeros((SYMBOLS**3, len(landmarks)), np.float32)
-    table[code, owner] = weight / norms(owner, weight, len(landmarks))[owner]
-    out = np.zeros((len(words), len(landmarks)))
-    for lo in range(0, len(words), 4096):
-        owner, code, weight = subsequences(part := words[lo : lo + 4096])
-        if len(code):
+    used = np.unique(code)
+    table = np.zeros((len(used) + 1, len(landmarks)), np.float32)  # the last row is for subsequences that no landmark has
+    table[np.searchsorted(used, code), owner] = weight / norms(owner, weight, len(landmarks))[owner]
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    for lo in range(0, len(words), 512):
+        owner, code, weight = subsequences(part := words[lo : lo + 512])
+        if len(code) and len(used):
+            at = np.searchsorted(used, code)
+            at[used[np.minimum(at, len(used) - 1)] != code] = len(used)
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            sums = np.add.reduceat(table[code] * (weight / norms(owner, weight, len(part))[owner])[:, None], first)
-            out[lo + owner[first]] = sums
+            share = (weight / norms(owner, weight, len(part))[owner]).astype(np.float32)
+            out[lo + owner[first]] = np.add.reduceat(table[at] * share[:, None], first)
     return out
 
 
