@@ -25,7 +25,7 @@ from tidewater.llm.svm import fit_svm
 DIM_BITS = 12
 PIECE = 1 << 20
 #: Labelled rows that a classifier is fitted on, at most about so many for each language.
-SAMPLE_PER_LANGUAGE = 1000
+SAMPLE_PER_LANGUAGE = 500
 
 #: Families of languages, by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
@@ -127,9 +127,9 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     if not points.num_rows:
         return None
     langs = np.array(points.column("lang").to_pylist())
-    x = points.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 1 << DIM_BITS)
-    order = np.lexsort(([zlib.crc32(r.tobytes()) for r in x], langs))  # the same order whatever the partitions
-    langs, x = langs[order], x[order]
+    x = np.concatenate([c.flatten().to_numpy() for c in points.column("x").chunks]).reshape(-1, 1 << DIM_BITS)
+    del points
+    order = np.lexsort(([zlib.crc32(r) for r in x], langs))  # the same order whatever the partitions
     families: dict[str, list[str]] = {}
     for lang in sorted(set(langs.tolist())):
         families.setdefault(FAMILY_OF.get(lang, f"family of {lang}"), []).append(lang)
@@ -137,8 +137,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     tasks = [(a, b, families[a], families[b]) for a, b in combinations(sorted(families), 2)]
     tasks += [(a, b, [a], [b]) for group in families.values() for a, b in combinations(group, 2)]
     for a, b, these, those in tasks:
-        of = np.isin(langs, these + those)
-        weights, bias = fit_svm(x[of], np.isin(langs[of], these))
+        weights, bias = fit_svm(x, np.isin(langs, these), order[np.isin(langs[order], these + those)])
         machines.pairs.append((a, b))
         machines.weights.append(weights * 1000)
         machines.biases.append(bias)
