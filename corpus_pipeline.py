@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near duplicates; of rows that share an id,
     one. Rows without an id are in no class and stay."""
-    found = checkpointed(ngram_join.near_duplicates(docs).select("doc_id", "component_id"))
+    found = checkpointed(ngram_join.near_duplicates(docs, count_links=False).select("doc_id", "component_id"))
     kept = ngram_join.only(docs, found.filter("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
     repeated = checkpointed(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if repeated.isEmpty():

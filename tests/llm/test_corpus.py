@@ -85,6 +85,28 @@ def test_near_duplicates_edges(spark):
     assert got == [(0, 3, None), (5, 3, 5), (5, 3, 5), (7, 3, 5), (9, 1, 9)]
 
 
+@pytest.mark.parametrize("sizes", [(1024, 4096), (3, 7)])
+def test_links_inside_classes_are_counted(spark, monkeypatch, sizes):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", sizes[0])
+    monkeypatch.setattr(ngram_join, "BLOCK_COLUMNS", sizes[1])
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base, f"end{k}"]) for k in range(3)]  # three mutual links
+    for _ in range(40):
+        t = [f"v{k}" for k in range(40)]
+        for _ in range(rnd.randint(0, 2)):
+            t[rnd.randrange(40)] = f"x{rnd.randrange(99)}"
+        texts.append(" ".join(t))
+    texts += [texts[0], texts[5], "", "one", "ONE", "alone in here it is so", None]
+    rows = [*enumerate(texts), (7, texts[1]), (None, texts[1])]  # an id with two texts; none
+    sets = [shingle_set(t) for _, t in rows]
+    like = lambda i, j: i != j and sets[i] and rows[j][0] is not None and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    want = sorted((-1 if d is None else d, sum(map(bool, (like(i, j) for j in range(len(rows))))) if d is not None else 0) for i, (d, _) in enumerate(rows))
+    got = ngram_join.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_links"]) for r in got) == want
+    assert max(n for _, n in want) > 10 and ngram_join.near_duplicates(frame(spark, rows), count_links=False).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(edges).collect()}
