@@ -108,6 +108,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert len(got) == len(texts) and pii.personal_data(frame(spark, [])).count() == 0
 
 
+def test_one_word_cues_and_short_groups(spark):
+    rnd = random.Random(6)
+    w = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    texts = [f"{w()} {w()} phone: +1 (366) 555-{1000 + k} {w()} {w()}" for k in range(12)] + [f"{w()} {w()} phone: 555 123 4567, {w()}", f"{w()} 555 123 4567 {w()}"]
+    texts += [f"{w()} {w()} ip: 10.0.0.{k} {w()} {w()}" for k in range(12)] + [f"{w()} ip: x7 {w()}"]
+    got = by_id(pii.personal_data(frame(spark, texts)))
+    spans = {k: [(x["kind"], texts[k][x["start"] : x["end"]]) for x in got[k]["found"]] for k in got}
+    assert spans[12] == [("ctx_phone", "555 123 4567")] and spans[26] == [("ctx_ip", "x7")] and spans[13] == []
+
+
+def test_places_of_all_seeds_and_groups():
+    at = lambda t: [(x[3], x[2]) for x in pii.places(t, pii.base_entities(t), 1)]
+    assert at("to a@b.c,d@e.f now") == [("a@b.c", "email"), ("d@e.f", "email")]
+    assert at("call (555) 123 4567, 12 and 3. 4 or 5\n6 x1 2") == [(x, None) for x in ("(555) 123 4567", "12", "3", "4", "5", "6", "x1", "2")]
+    assert [x[4:] for x in pii.places("up to 7 or", [], 1)] == [("up to", "to _ or", "to _", "_ or")]
+
+
 def test_spans_are_ordered():
     assert joined([(5, 9, "b"), (1, 2, "b"), (1, 3, "a"), (1, 2, "b")], ["b", "a"]) == "b:1:2,a:1:3,b:5:9" and len(folded("İX")) == 2
 

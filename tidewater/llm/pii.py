@@ -1,8 +1,9 @@
 """Personal data: base patterns, then bootstrapped contextual extraction.
 
-One pass over the texts finds the base entities (the seeds) and every other identifier-like token,
-each with its neighbouring words. Spark then scores the bipartite graph of lexical patterns (the words
-around a place) and instances (what stands there) in rounds: a pattern is worth the share of its
+One pass over the texts finds the base entities (the seeds) and every other identifier-like token (a word
+with a digit, or a run of digit groups), each with its neighbouring words. Spark then scores the bipartite
+graph of lexical patterns (the word before or after a place, the two before, the two around) and instances
+(what stands there) in rounds: a pattern is worth the share of its
 distinct instances that are known entities of its kind, an instance the best pattern that extracts it;
 instances believed in one round count as known in the next. Identifier-like tokens that a
 high-confidence pattern extracts are reported as kind ``ctx_<kind>``.
@@ -11,6 +12,7 @@ high-confidence pattern extracts are reported as kind ``ctx_<kind>``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +31,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
 EDGE = "\"'`.,;:!?()[]{}<>#$%&*|"
+OPENING = EDGE.replace("(", "")
+GROUP = re.compile(r"[(+]*[0-9][0-9+/().-]*")  # a word that may be a group of a longer number
+PATTERNS = ["left", "both", "before", "after"]
 
 
 def luhn(digits: str) -> bool:
@@ -70,42 +75,55 @@ def base_entities(text: str) -> list[tuple[int, int, str]]:
 
 
 def places(text: str, seeds: list[tuple[int, int, str]], min_len: int) -> list[tuple]:
-    """Seeds and identifier-like tokens (``min_len`` characters or more with a digit, not touching a seed)
-    with the word before, the two words before and the word after: (start, end, kind or None, token, left, both)."""
+    """Seeds, several in one word too, and identifier-like tokens that touch no word of a seed: words of
+    ``min_len`` characters or more with a digit, and runs of digit groups parted by single blanks. Each with
+    its contexts: (start, end, kind or None, token, left, both, before, after)."""
     if not seeds and not any(c.isdigit() for c in text):
         return []
     words = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-    taken, spots, k, i = sorted(seeds), [], 0, 0
+    starts, spots, taken = [s for s, _ in words], [], set()
 
     def word(n: int) -> str:
         return text[words[n][0] : words[n][1]].strip(EDGE).lower() if 0 <= n < len(words) else ""
 
+    def add(i: int, j: int, start: int, end: int, kind: str | None) -> None:
+        """A place in the words i to j."""
+        last, following = word(i - 1), word(j + 1)
+        spots.append((start, end, kind, text[start:end], f"{word(i - 2)} {last}", f"{last} _ {following}", f"{last} _" if last else None, f"_ {following}" if following else None))
+
+    for start, end, kind in sorted(seeds):
+        i, j = bisect_right(starts, start) - 1, bisect_left(starts, end) - 1
+        taken.update(range(i, j + 1))
+        add(i, j, start, end, kind)
+    def goes_on(j: int, first: bool) -> bool:
+        """Whether the words j and j + 1 are groups of one number."""
+        if j + 1 == len(words) or j + 1 in taken or text[words[j][1] : words[j + 1][0]] != " ":
+            return False
+        one, two = (text[s:e] for s, e in words[j : j + 2])
+        return one[-1] != "." and bool(GROUP.fullmatch(one.lstrip(OPENING) if first else one) and GROUP.fullmatch(two.rstrip(EDGE)))
+
+    i = 0
     while i < len(words):
         s, e = words[i]
-        while k < len(taken) and taken[k][1] <= s:
-            k += 1
-        if k < len(taken) and taken[k][0] < e:  # a seed, over words i to j
-            start, end, kind = taken[k]
-            j = i
-            while j + 1 < len(words) and words[j + 1][0] < end:
+        core, j = text[s:e].strip(EDGE), i
+        if i not in taken and any(c.isdigit() for c in core):
+            while goes_on(j, j == i):
                 j += 1
-            spots.append((start, end, kind, text[start:end], f"{word(i - 2)} {word(i - 1)}", f"{word(i - 1)} _ {word(j + 1)}"))
-            i = j + 1
-            continue
-        core = text[s:e].strip(EDGE)
-        if len(core) >= min_len and any(c.isdigit() for c in core):
-            at = text.index(core, s)
-            spots.append((at, at + len(core), None, core, f"{word(i - 2)} {word(i - 1)}", f"{word(i - 1)} _ {word(i + 1)}"))
-        i += 1
+            if j > i:
+                add(i, j, e - len(text[s:e].lstrip(OPENING)), words[j][0] + len(text[slice(*words[j])].rstrip(EDGE)), None)
+            elif len(core) >= min_len:
+                at = text.index(core, s)
+                add(i, i, at, at + len(core), None)
+        i = j + 1
     return spots
 
 
-def find_identifiers(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_len: int = 6) -> DataFrame:
+def find_identifiers(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_len: int = 1) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``found`` (base entities by start, then kind) and ``spots``
     (places for the bootstrapping). Null and empty texts have none; other columns are ignored."""
     rank = {k: i for i, k in enumerate(BASE_KINDS)}
     span = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string())])
-    spot = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("token", pa.string()), ("left", pa.string()), ("both", pa.string())])
+    spot = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("token", pa.string()), *((p, pa.string()) for p in PATTERNS)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,27 +131,27 @@ def find_identifiers(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
             for t in b.column(1).to_pylist():
                 seeds = base_entities(t) if t else []
                 found.append([dict(zip(("start", "rank", "end", "kind"), x, strict=True)) for x in sorted((s, rank[k], e, k) for s, e, k in seeds)])
-                spots.append([dict(zip(("start", "end", "kind", "token", "left", "both"), x, strict=True)) for x in (places(t, seeds, min_len) if t else [])])
+                spots.append([dict(zip(("start", "end", "kind", "token", *PATTERNS), x, strict=True)) for x in (places(t, seeds, min_len) if t else [])])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(span)), pa.array(spots, pa.list_(spot))], names=["doc_id", "found", "spots"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("text"))
     return slim.mapInArrow(
         scan,
         f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, found array<struct<start:bigint,rank:int,end:bigint,kind:string>>, "
-        "spots array<struct<start:bigint,end:bigint,kind:string,token:string,left:string,both:string>>",
+        f"spots array<struct<start:bigint,end:bigint,kind:string,token:string,{','.join(f'{p}:string' for p in PATTERNS)}>>",
     )
 
 
 def bootstrap(spots: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence: float = 0.8) -> DataFrame:
-    """(pattern, kind, confidence) of the high-confidence patterns. ``spots``: kind, token, left, both.
+    """(pattern, kind, confidence) of the high-confidence patterns. ``spots``: kind, token, left, both, before, after.
 
     A pattern counts from ``min_seeds`` distinct known instances. Its confidence for a kind is the summed
     belief of its distinct instances in that kind over their number, less one pseudo-instance. Hot
     contexts are no hot tasks: (pattern, instance) pairs are counted by partial aggregation, and beliefs
     meet them by joins on the instance, which adaptive execution can split."""
     pairs = stored(
-        spots.select("kind", "token", F.explode(F.array("left", "both")).alias("pattern"))
-        .filter(F.length(F.trim(F.regexp_replace("pattern", "_", ""))) > 2)
+        spots.select("kind", "token", F.explode(F.array(*PATTERNS)).alias("pattern"))
+        .filter(F.length(F.trim(F.regexp_replace("pattern", "_", ""))) > 0)
         .groupBy("pattern", "token").agg(F.max("kind").alias("seed")),
         "pii-graph",
     )
@@ -156,7 +174,7 @@ def personal_data(docs: DataFrame, text: str = "text", id_col: str = "doc_id", *
     scanned = stored(find_identifiers(docs, text, id_col).withColumn("row", F.monotonically_increasing_id()), "pii-scan")
     spots = scanned.select("row", F.explode("spots").alias("s")).select("row", "s.*")
     patterns = bootstrap(spots, **options)
-    unseen = spots.filter("kind IS NULL").select("row", "start", "end", F.explode(F.array("left", "both")).alias("pattern"))
+    unseen = spots.filter("kind IS NULL").select("row", "start", "end", F.explode(F.array(*PATTERNS)).alias("pattern"))
     finds = (
         unseen.join(patterns, "pattern").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
         .groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(BASE_KINDS)).alias("rank"), "end", F.concat(F.lit("ctx_"), "kind").alias("kind"))).alias("more"))
