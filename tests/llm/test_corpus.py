@@ -250,6 +250,11 @@ def test_toxicity(spark):
     assert toxicity.score(docs, None).filter("score <> 0").count() == 0
 
 
+def test_disguises_late_in_a_long_token():
+    for joint in "_|/":
+        assert "idiot" in toxicity.fragments("x" * 45 + joint + "id1ot")
+
+
 def test_kernel():
     k = toxicity.kernel(["idiot", "idxiot", "editor", "zzz"], ["idiot"])[:, 0]
     assert k[0] == pytest.approx(1) and k[0] > k[1] > k[2] > k[3] == 0

@@ -44,6 +44,7 @@ INSIDE = re.compile(r"[^\W_]+")
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]+){3,}[^\W\d_](?!\S)")
 #: Digits and signs read as letters.
 LOOKS_LIKE = str.maketrans("0134578@$", "oieastbas")
+DISGUISED = re.compile("[0134578@$]")
 
 _CODES = np.zeros(0x110000, np.uint8)
 _CODES[: 0x300] = [(1 + (ord(c) - 97) if "a" <= c <= "z" else 27 + ord(c) % 37 if c.isalpha() else 0) for c in map(chr, range(0x300))]
@@ -59,7 +60,7 @@ def fragments(text: str) -> set[str]:
         if token.isalpha():
             out.add(token)
             continue
-        if any(c in "0134578@$" for c in token[:40]):
+        if DISGUISED.search(token):
             token = token.translate(LOOKS_LIKE)
         parts = INSIDE.findall(token)
         out.update(parts)
