@@ -107,6 +107,15 @@ def test_links_inside_classes_are_counted(spark, monkeypatch, sizes):
     assert max(n for _, n in want) > 10 and ngram_join.near_duplicates(frame(spark, rows), count_links=False).columns == ["doc_id", "n_shingles", "component_id"]
 
 
+def test_hot_tokens_are_combined(spark, monkeypatch):
+    """No window brings all postings of a token into one task."""
+    plans, stored = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or stored(df, name))
+    rows = [(k, " ".join([f"w{j}" for j in range(30)] + [f"end{k}"])) for k in range(20)]
+    assert {r["component_id"] for r in ngram_join.near_duplicates(frame(spark, rows), count_links=False).collect()} == {0}
+    assert plans and not any("Window" in p for p in plans)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(edges).collect()}
