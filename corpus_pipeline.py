@@ -37,9 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    hits = contamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return ngram_join.only(docs, checkpointed(hits.select("doc_id").distinct()), "left_anti")
+    """Drops the rows whose text holds a benchmark item; rows without an id or that share one are judged
+    each by its own text."""
+    return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

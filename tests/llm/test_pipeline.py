@@ -55,3 +55,11 @@ def test_stages(spark, corpus):
         start += len(ids)
     got = corpus_pipeline.STAGES[4][1](spark, docs, d)
     assert sorted(tuple(r) for r in got.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == files
+
+
+def test_decontamination_judges_each_row(spark, corpus):
+    d, _ = corpus
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    rows = [(None, f"some words {item} and more"), (None, "clean"), (5, f"{item}"), (5, "clean too"), (6, None), (7, "")]
+    got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), d).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[k] for k in (1, 3, 4, 5)]))

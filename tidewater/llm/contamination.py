@@ -124,6 +124,31 @@ class Matcher:
         return found
 
 
+def item_blocks(items: DataFrame) -> Iterator[list]:
+    """The rows of (item_id, text), about ``ITEMS_PER_PASS`` at a time; one block at least."""
+    blocks = max(1, -(-items.count() // ITEMS_PER_PASS))
+    for k in range(blocks):
+        yield items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of ``docs`` that hold no item, unchanged. Each row is judged by its own text, whatever its id:
+    null and repeated ids make no difference. Null and empty texts hold none."""
+    at = docs.columns.index(text)
+    for part in item_blocks(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))):
+        some = [(r["item_id"], r["text"]) for r in part]
+
+        def drop(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(some, rate)
+            for b in batches:
+                for lo in range(0, b.num_rows, 1000):
+                    rows = b.slice(lo, 1000)
+                    yield rows.filter(pa.array([not (t and matcher.find(t)) for t in rows.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(drop, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """One row for each document and item that occurs in it within the budget: doc_id, item_id, distance,
     start, end (code points). Clean documents have no row, nor have null and empty texts or items; equal
@@ -135,10 +160,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_c
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     item_type = pa.int64() if items.schema["item_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, item_id {'bigint' if item_type == pa.int64() else 'string'}, distance int, start bigint, end bigint"
-    blocks = max(1, -(-items.count() // ITEMS_PER_PASS))
     out = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+    for part in item_blocks(items):
         some = [(r["item_id"] if item_type == pa.int64() else str(r["item_id"]), r["text"]) for r in part]
 
         def search(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
