@@ -239,6 +239,15 @@ def test_language(spark):
     assert language.predict(docs.filter("doc_id = 0"), one).first()["lang_pred"] == "fr"
 
 
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 300)
+    monkeypatch.setattr(language, "fit_svm", lambda x, y, rows: (np.zeros(x.shape[1]), 0.0))
+    sizes, features = [], language.features
+    monkeypatch.setattr(language, "features", lambda df: sizes.append(df.count()) or features(df))
+    docs = spark.createDataFrame([(k, f"text of {k}", f"x{min(k, 999) % 230 if k < 1000 else 0}") for k in range(3000)], "doc_id long, text string, lang string")
+    assert len(language.fit(docs).families) == 230 and 230 <= sizes[0] <= 600
+
+
 def test_toxicity(spark):
     rnd = random.Random(9)
     plain = lambda n: " ".join("".join(rnd.choice(["er", "an", "th", "in", "ou", "re", "st"]) for _ in range(rnd.randint(1, 4))) for _ in range(n))

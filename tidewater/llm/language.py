@@ -26,6 +26,7 @@ DIM_BITS = 12
 PIECE = 1 << 20
 #: Labelled rows that a classifier is fitted on, at most about so many for each language.
 SAMPLE_PER_LANGUAGE = 500
+SAMPLE_TOTAL = 4000  # of all languages together, about, but a row of each: 66 MB of features
 
 #: Families of languages, by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
@@ -116,14 +117,17 @@ def features(labelled: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
     """Fit on (doc_id, text, lang). Rows with a null or empty text or a null language don't count; None if
     no row is left. The sample takes the rows with the smallest hashes of their ids, about ``per_language``
-    of each language, found by a rate for each language: no sort, and no language meets in one task."""
-    known = labelled.filter("lang IS NOT NULL").select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    of each language or an equal share of ``SAMPLE_TOTAL`` if that is less, found by a rate for each
+    language: no sort, and no language meets in one task. Every language is learned, by its row of the
+    smallest hash at least; machines grow with the square of the languages that are families of their own."""
+    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    known = labelled.filter("lang IS NOT NULL AND text <> ''").select("lang", "text", u.alias("u"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()
     if not counts:
         return None
-    rate = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)]), F.col("lang"))
-    u = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    points = features(known.filter(u < rate).filter("text IS NOT NULL AND text <> ''")).toArrow()
+    share = min(per_language, SAMPLE_TOTAL / len(counts))
+    rates = labelled.sparkSession.createDataFrame([(r["lang"], max(share / r["n"], r["least"])) for r in counts], "lang string, rate double")
+    points = features(known.join(F.broadcast(rates), "lang").filter("u <= rate").select("lang", "text")).toArrow()
     if not points.num_rows:
         return None
     langs = np.array(points.column("lang").to_pylist())
