@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("/tmp/checkpoints/tidewater")
     return sc.getCheckpointDir().rstrip("/")
 
@@ -41,11 +45,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again. Cuts the lineage like a
     checkpoint, but columnar and compressed, so wide tables stay small and columns can be pruned."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,5 +69,20 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 
 
 def crc_mod(doc_id: str, n: int) -> Column:
-    """crc32 of the id's decimal text, modulo ``n``."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)
+    """crc32 of the id's decimal text (null: of the empty text), modulo ``n``."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
+
+
+def parts_of(batch: pa.RecordBatch | pa.Array, rows: int = 500) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Short slices of a batch or column; what was needed for one goes back to the system before the next."""
+    pool = pa.system_memory_pool()
+    pa.set_memory_pool(pool)
+    for lo in range(0, len(batch) if isinstance(batch, pa.Array) else batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+    pool.release_unused()
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches cut into short ones."""
+    for b in batches:
+        yield from parts_of(b, rows)
