@@ -45,14 +45,53 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
-def test_rules_are_gated():
-    """Every rule's own words pass the gate, so no text is skipped that a rule would match."""
-    gate = re.compile(licenses.GATE)
-    for label, names, _ in licenses.FAMILIES:
-        for n in names:
-            plain = re.sub(r"\[cs\]", "c", re.sub(r" \?|\(\?:|\)", lambda m: " " if m[0] == " ?" else "", n))
-            assert gate.search(plain), (label, n)
-    assert len(licenses.rules()) > 300
+def spelled(tree, rnd):
+    """A random text that a parsed pattern matches."""
+    out = ""
+    for op, x in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "IN":
+            kind, value = x[0]
+            out += "q" if str(kind) in ("CATEGORY", "NEGATE") else chr(value if str(kind) == "LITERAL" else rnd.randint(*value))
+        elif name == "BRANCH":
+            out += spelled(rnd.choice(x[1]), rnd)
+        elif name == "SUBPATTERN":
+            out += spelled(x[-1], rnd)
+        elif name == "MAX_REPEAT":
+            out += "".join(spelled(x[2], rnd) for _ in range(rnd.randint(x[0], min(x[1], 3))))
+    return out
+
+
+def test_every_rule_is_reached(spark):
+    """Texts spelled from each rule hold its keywords, pass the gate and give its label, or one that contains it."""
+    import re._parser as parser
+
+    rnd, texts, of = random.Random(1), [], []
+    rules = licenses.rules()
+    assert len(rules) > 300 and len({r["rx"] for r in rules}) == len(rules)
+    for r in rules:
+        head, body = ("spdx license identifier foo or ", r["rx"].split("(?:or|and) )", 1)[1]) if r["kws"] == ["spdx"] else ("", r["rx"][len("(?<= )") :])
+        for _ in range(6):
+            t = head + spelled(parser.parse(body), rnd)
+            assert any(k in t for k in r["kws"]), (r, t)
+            texts.append(f"Some {rnd.choice([str.upper, str.title, str])(t).replace(' ', rnd.choice([' ', '-', chr(10)]))} .")
+            of.append(r["label"])
+    got = by_id(licenses.scan_licenses(frame(spark, texts)))
+    assert not [(label, t) for i, (t, label) in enumerate(zip(texts, of, strict=True)) if not got[i]["n_rules"]]
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Released under GPLv3", {"gpl-3.0"}), ("LGPLv2.1+", {"lgpl-2.1"}), ("Apache-2.0", {"apache-2.0"}), ("Apache 2.0", {"apache-2.0"}), ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")", {"mit"}),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", {"bsd"}),
+    ("https://creativecommons.org/licenses/by-sa/4.0/", {"cc-by-sa-4.0"}), ("This is free and unencumbered software released into the public domain.", {"unlicense"}), ("Mozilla Public License, v. 2.0", {"mpl-2.0"}),
+    ("GNU General Public License as published by the Free Software Foundation; either version 2 of the License", {"gpl"}), ("MPL 2.0 or EPL-1.0", {"mpl-2.0", "epl-1.0"}), ("an example of the simple reply under two trails", set()),
+])
+def test_license_examples(spark, text, labels):
+    got = set(filter(None, licenses.scan_licenses(frame(spark, [text])).first()["labels"].split(",")))
+    assert labels <= got if labels else got == set(), got
 
 
 def test_secrets(spark):
@@ -82,6 +121,8 @@ def test_checksums():
         n, d = divmod(n, 58)
         s = secrets.BASE58[d] + s
     assert secrets.base58_check(s) and not secrets.base58_check(s[:-1] + ("1" if s[-1] != "1" else "2"))
+    deep = "eyJhIjpb" + "W1tb" * 40_000
+    assert not secrets.jwt_header(f"{deep}.x.y")
     assert secrets.jwt_header("eyJhbGciOiJIUzI1NiJ9.eyJ9.x") and not secrets.jwt_header("eyJ!.x.y")
 
 
@@ -175,9 +216,17 @@ def test_contamination_against_brute_force(spark):
     assert contamination.contaminated(docs, bench.limit(0)).count() == 0 and contamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_stand_at_word_edges(spark):
+    bench = spark.createDataFrame([("a", "a"), (None, "x y"), ("c", "+1")], "item_id string, text string")
+    got = sorted((r["doc_id"], str(r["item_id"])) for r in contamination.contaminated(frame(spark, ["banana", "say a", "x\u2003y", "xx y", "3+12", "3+1", None]), bench).collect())
+    assert got == [(1, "a"), (2, "None"), (5, "c")]
+    assert contamination.contaminated(frame(spark, ["x y"]), bench).first()["item_id"] is None
+
+
 @pytest.mark.parametrize("n", [2, 5])
 def test_more_items_than_a_pass(spark, monkeypatch, n):
     docs, bench = frame(spark, ["some words of the first item here", "other"]), spark.createDataFrame([(k, f"words of the {w} item") for k, w in enumerate(["first", "second", "third", "fourth", "fifth", "first"])], "item_id long, text string")
     monkeypatch.setattr(contamination, "ITEMS_PER_PASS", n)
     assert sorted(r["item_id"] for r in contamination.contaminated(docs, bench).collect()) == [0, 5]
     assert contamination.contaminated(docs, bench).select(F.countDistinct("doc_id")).first()[0] == 1
+    assert [r["text"] for r in contamination.clean(docs, bench).collect()] == ["other"]

@@ -8,24 +8,32 @@ the best matching stretch, and those within the budget are reported.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents
+from tidewater.llm.common import documents, in_parts, parts_of, stored
 from tidewater.llm.text_spans import folded
 
 #: Edits allowed, as a share of an item's characters.
 ERROR_RATE = 0.08
-#: Items handled in one pass: what a task holds in memory. More items take more passes, in blocks.
-ITEMS_PER_PASS = 20_000
+#: Items handled in one pass, and about their characters: what the driver and a task hold in memory. More take
+#: more passes, in blocks.
+ITEMS_PER_PASS, CHARS_PER_PASS = 20_000, 20_000_000
+WHITE = re.compile(r"[^\S ]")
 
 
 def comparable(text: str) -> str:
     """Lower case and every white-space character a blank; the same length, so positions hold."""
-    return folded(text).replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    return WHITE.sub(" ", folded(text))
+
+
+def at_word_edges(text: str, lo: int, hi: int) -> bool:
+    """Whether a stretch neither begins nor ends inside a run of letters or digits."""
+    return not (lo > 0 and text[lo - 1].isalnum() and text[lo].isalnum() or hi < len(text) and text[hi].isalnum() and text[hi - 1].isalnum())
 
 
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
@@ -104,8 +112,10 @@ class Matcher:
         _, item, budget = self.items[k]
         m, found = len(item), None
         for s in starts:
-            if s >= 0 and t.startswith(item, s):
+            if s >= 0 and t.startswith(item, s) and (budget or at_word_edges(t, s, s + m)):
                 return 0, s, s + m
+        if not budget:
+            return None
         windows: list[list[int]] = []
         for s in starts:  # windows that overlap are searched together
             lo, hi = max(0, s - budget), min(len(t), s + m + budget)
@@ -124,49 +134,60 @@ class Matcher:
         return found
 
 
-def item_blocks(items: DataFrame) -> Iterator[list]:
-    """The rows of (item_id, text), about ``ITEMS_PER_PASS`` at a time; one block at least."""
-    blocks = max(1, -(-items.count() // ITEMS_PER_PASS))
+def item_blocks(items: DataFrame) -> Iterator[tuple[bool, list]]:
+    """Whether it is the last, and the rows of (item_id, text), at most about ``ITEMS_PER_PASS`` at a time; one block at least."""
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS_PER_PASS), -(-chars // CHARS_PER_PASS))
     for k in range(blocks):
-        yield items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
+        part = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == k).orderBy("item_id", "text")
+        yield k == blocks - 1, [tuple(r) for r in part.collect()]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """The rows of ``docs`` that hold no item, unchanged. Each row is judged by its own text, whatever its id:
-    null and repeated ids make no difference. Null and empty texts hold none."""
-    at = docs.columns.index(text)
-    for part in item_blocks(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))):
-        some = [(r["item_id"], r["text"]) for r in part]
+def holds_none(items: list, rate: float):
+    """A function of a text column: whether a text holds none of the items."""
 
-        def drop(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(some, rate)
-            for b in batches:
-                for lo in range(0, b.num_rows, 1000):
-                    rows = b.slice(lo, 1000)
-                    yield rows.filter(pa.array([not (t and matcher.find(t)) for t in rows.column(at).to_pylist()], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matcher = Matcher(items, rate)
+        for texts in columns:
+            yield pa.array([not (t and matcher.find(t)) for part in parts_of(texts) for t in part.to_pylist()], pa.bool_())
 
-        docs = docs.mapInArrow(drop, docs.schema)
+    return judge
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of ``docs`` that hold no item, unchanged. Each row is judged by its own text, whatever its id:
+    null and repeated ids make no difference. Null and empty texts hold none. Only texts go to Python; with
+    more than one block of items, what a block keeps is stored before the next."""
+    for last, some in item_blocks(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))):
+        docs = docs.filter(holds_none(some, rate)(F.col(text)))
+        if not last:
+            docs = stored(docs, "clean")
     return docs
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """One row for each document and item that occurs in it within the budget: doc_id, item_id, distance,
-    start, end (code points). Clean documents have no row, nor have null and empty texts or items; equal
-    rows of ``docs`` each have theirs, equal items too. Other columns are ignored.
-
-    Items are held whole by each task, ``ITEMS_PER_PASS`` at a time, so memory is bounded whatever the
-    benchmark's size; the documents are read once for each block of items."""
+    start, end (code points); of several occurrences, the first of the least distance. Clean documents have no
+    row, nor have null and empty texts or items; equal rows of ``docs`` each have theirs, equal items too, and
+    null ids of either stay null. An item too short for a single edit has to stand at word edges. Texts are
+    read whole. Other columns are ignored.
+
+    Items are held whole by the driver and each task, ``ITEMS_PER_PASS`` at a time, so memory is bounded
+    whatever the benchmark's size; the documents are read once for each block of items, and its rows are
+    stored before the next block is fetched."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).filter("text <> ''")
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    item_type = pa.int64() if items.schema["item_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else pa.string()
-    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, item_id {'bigint' if item_type == pa.int64() else 'string'}, distance int, start bigint, end bigint"
+    numbers = items.schema["item_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    items = items.withColumn("item_id", F.col("item_id").cast("bigint" if numbers else "string"))
+    item_type = pa.int64() if numbers else pa.string()
+    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, item_id {'bigint' if numbers else 'string'}, distance int, start bigint, end bigint"
     out = None
-    for part in item_blocks(items):
-        some = [(r["item_id"] if item_type == pa.int64() else str(r["item_id"]), r["text"]) for r in part]
+    for last, some in item_blocks(items):
 
         def search(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(some, rate)
-            for b in batches:
+            for b in in_parts(batches):
                 rows = [(n, *m) for n, t in enumerate(b.column(1).to_pylist()) for m in matcher.find(t)]
                 if rows:
                     at, item, distance, start, end = zip(*rows, strict=True)
@@ -176,6 +197,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_c
                     )
 
         found = slim.mapInArrow(search, schema)
+        found = found if last else stored(found, "contaminated")
         out = found if out is None else out.unionByName(found)
     return out
 

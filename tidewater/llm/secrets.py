@@ -3,7 +3,8 @@
 The automaton runs over each whole text; a pattern is tried only at the places where its keyword was
 found, left to right without overlap, which gives what a leftmost non-overlapping search gives because
 every match has to begin with a keyword. Runs of hexadecimal digits have no keyword and are searched
-for directly. Tokens whose format embeds a checksum are reported only if it holds.
+for directly. Tokens whose format embeds a checksum are reported only if it holds; a web token only if its
+header decodes, which is no checksum.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents, whole_text
+from tidewater.llm.common import documents, in_parts, whole_text
 from tidewater.llm.text_spans import folded
 
 BASE_KINDS = ["assign", "access", "hex"]
@@ -51,7 +52,7 @@ def jwt_header(token: str) -> bool:
     head = token.split(".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
@@ -66,7 +67,7 @@ DETECTORS = {
     "slack": (["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], re.compile(r"xox[bpars]-[0-9A-Za-z-]{20,}"), lambda m: True, False),
     "stripe": (["sk_live_", "rk_live_"], re.compile(r"[sr]k_live_[0-9A-Za-z]{24,}"), lambda m: True, False),
     "google": (["aiza"], re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), lambda m: True, False),
-    "jwt": (["eyj"], re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), lambda m: jwt_header(m[0]), True),
+    "jwt": (["eyj"], re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), lambda m: jwt_header(m[0]), False),
     "xprv": (["xprv"], re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![1-9A-HJ-NP-Za-km-z])"), lambda m: base58_check(m[0]), True),
     "pem": (["-----begin "], re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), lambda m: True, False),
 }
@@ -114,7 +115,7 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
         scan = scanner()
         fields = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_()), ("checked", pa.bool_())]))
         names = [f.name for f in fields.value_type]
-        for b in batches:
+        for b in in_parts(batches):
             found = [[dict(zip(names, x, strict=True)) for x in scan(t)] if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, fields)], names=["doc_id", "found"])
 
