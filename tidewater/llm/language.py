@@ -3,12 +3,11 @@ machines among the languages of that family.
 
 Features are hashed byte trigrams of the lower-cased letters, as shares of all trigrams of the text. The
 machines are trained on a bounded sample of labelled rows; scoring is one pass over each whole
-text inside Arrow batches.
+text inside Arrow batches, and only the texts go to Python.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,10 +15,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import crc_mod, documents
+from tidewater.llm.common import crc_mod, documents, in_parts, parts_of
 from tidewater.llm.svm import fit_svm
 
 DIM_BITS = 12
@@ -39,26 +38,28 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
-LETTER = re.compile(r"[^\W\d_]")
 FOLD = np.full(256, 32, np.uint8)
 FOLD[128:] = np.arange(128, 256)
-for _c in range(26):
-    FOLD[65 + _c] = FOLD[97 + _c] = 97 + _c
+FOLD[97:123] = np.arange(97, 123)
 
 
-def trigrams(raw: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashed trigrams of UTF-8 bytes, a piece at a time: ASCII letters and Latin-1 letters in lower case,
-    all other ASCII as blanks."""
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Hashed trigrams of the UTF-8 bytes of the text in lower case, a piece at a time; all ASCII but letters
+    as blanks."""
+    raw = np.frombuffer(text.lower().encode(), np.uint8)
     for lo in range(0, max(1, len(raw) - 2), PIECE):
-        part = FOLD[raw[lo : lo + PIECE + 2]]
-        after_c3 = np.empty(len(part), bool)
-        after_c3[:1] = False
-        np.equal(part[:-1], 0xC3, out=after_c3[1:])
-        part[after_c3 & (part >= 0x80) & (part <= 0x9E)] += 0x20
-        wide = part.astype(np.uint32)
+        wide = FOLD[raw[lo : lo + PIECE + 2]].astype(np.uint32)
         yield ((wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]) * np.uint32(2654435761)) >> np.uint32(32 - DIM_BITS)
 
 
+def shares(text: str) -> np.ndarray:
+    """Each hashed trigram's share of the text, in thousandths, as 32-bit floats."""
+    n = np.zeros(1 << DIM_BITS)
+    for h in trigrams(text):
+        n += np.bincount(h, minlength=1 << DIM_BITS)
+    return (1000 * n / max(1.0, n.sum())).astype(np.float32)
+
+
 @dataclass
 class Machines:
     """One-versus-one machines: a positive margin means the first of the pair."""
@@ -104,12 +105,8 @@ def features(labelled: DataFrame) -> DataFrame:
     """(lang, x) from (lang, text): trigram shares in thousandths, 32-bit floats."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                n = np.zeros(1 << DIM_BITS)
-                for h in trigrams(np.frombuffer(b.column(1)[k].as_buffer(), np.uint8)):
-                    n += np.bincount(h, minlength=1 << DIM_BITS)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([(1000 * n / max(1.0, n.sum())).astype(np.float32)], pa.list_(pa.float32()))], names=["lang", "x"])
+        for b in in_parts(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shares(t) for t in b.column(1).to_pylist()], pa.list_(pa.float32()))], names=["lang", "x"])
 
     return labelled.select("lang", "text").mapInArrow(count, "lang string, x array<float>")
 
@@ -143,40 +140,42 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Languag
     for a, b, these, those in tasks:
         weights, bias = fit_svm(x, np.isin(langs, these), order[np.isin(langs[order], these + those)])
         machines.pairs.append((a, b))
-        machines.weights.append(weights * 1000)
+        machines.weights.append(weights)
         machines.biases.append(bias)
     return LanguageModel(families, machines)
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (replaced if there are such columns). Texts that are
-    null or have no letter are ``und`` with score 0, as is everything without a model. Texts are read
-    whole, in pieces of 1 MB."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    at = names.index(text)
-    schema = ", ".join([*(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names), "lang_pred string, lang_score double"])
+def predicted(text: str | Column, model: LanguageModel | None) -> Column:
+    """A struct of ``lang`` and ``score`` for each text: ``und`` with score 0 for texts that are null or have
+    no letter (Unicode's L categories), and for all without a model."""
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("lang string, score double")
+    def predict_texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import regex
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letter = regex.compile(r"\p{L}").search
         weights, biases = model.matrix() if model else (None, None)
-        for b in batches:
-            langs, scores = [], []
-            for x in b.column(at):
-                t = x.as_py()
-                if model is None or t is None or not LETTER.search(t):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                total, n = np.zeros(len(biases)), 0
-                for h in trigrams(np.frombuffer(x.as_buffer(), np.uint8)):
-                    total += weights[h].sum(0, dtype=np.float64)
-                    n += len(h)
-                lang, p = model.predict(total / max(1, n) + biases)
-                langs.append(lang)
-                scores.append(p)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "lang_score"])
-
-    return kept.mapInArrow(score, schema)
+        for texts in columns:
+            found = []
+            for part in parts_of(texts):
+                for t in part.to_pylist():
+                    known = model is not None and t is not None and letter(t)
+                    found.append(model.predict(shares(t) @ weights + biases) if known else ("und", 0.0))
+            langs, scores = zip(*found, strict=True) if found else ((), ())
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
+
+    # "nondeterministic" keeps the optimizer from predicting once for a filter and again for its column
+    return predict_texts.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
+
+
+def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score`` (replaced if there are such columns), as ``predicted``
+    has them. One row per row: repeated rows and ids each get the same. Texts count whole; equal counts of
+    wins go to the larger sum of margins, then to the first language by name."""
+    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    kept = docs.select(*[F.col(f"`{c}`") for c in names], predicted(text, model).alias("lang_score"))
+    return kept.select(*[F.col(f"`{c}`") for c in names], F.col("lang_score.lang").alias("lang_pred"), F.col("lang_score.score").alias("lang_score"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

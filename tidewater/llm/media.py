@@ -1,14 +1,16 @@
 """Media columns: payloads in ISO base media containers, and an index of such a column.
 
 ``to_container`` wraps a payload as a track of fixed-size uncompressed 8-bit samples; ``read_container``
-walks the nested boxes of any such file and decodes the sample tables (sizes, chunk offsets, samples per
-chunk, durations, sync samples) into codec, duration and key-frame byte ranges without touching the
-media data itself.
+walks the nested boxes of such a file and decodes each track's sample tables (sizes, compact sizes, chunk
+offsets, samples per chunk, durations, sync samples) into codec, duration and key-frame byte ranges without
+touching the media data itself. Tables that claim more entries than their box holds count as far as they go.
+Movie fragments are not decoded: samples that only fragments describe are not in the index.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents, whole_text
+from tidewater.llm.common import documents, in_parts, parts_of, stored, whole_text
 
 SAMPLE = 64  # bytes in a sample
 SYNC_EVERY = 16  # samples from one key frame to the next
@@ -99,6 +101,17 @@ def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[t
         start += n
 
 
+def entries(view: memoryview, s: int, e: int, n: int, kind: str) -> list[tuple]:
+    """The first ``n`` entries of a table, or as many as lie within its box."""
+    size = struct.calcsize(f">{kind}")
+    return list(struct.iter_unpack(f">{kind}", view[s : s + size * max(0, min(n, (e - s) // size))]))
+
+
+def number(view: memoryview, s: int, e: int, kind: str = "I") -> int:
+    """A number, or 0 where the box ends before it."""
+    return struct.unpack_from(f">{kind}", view, s)[0] if s + struct.calcsize(f">{kind}") <= e else 0
+
+
 def tracks(data: bytes) -> list[dict]:
     """Each track's tables: codec, timescale, duration, sizes, offsets, sync sample numbers."""
     view, out = memoryview(data), []
@@ -111,55 +124,70 @@ def tracks(data: bytes) -> list[dict]:
             continue
         t = out[-1]
         if kind == b"mdhd":
-            t["scale"], t["duration"] = struct.unpack_from(">IQ", view, s + 20) if view[s] == 1 else struct.unpack_from(">II", view, s + 12)
+            at = s + 20 if e > s and view[s] == 1 else s + 12
+            t["scale"], length = number(view, at, e), number(view, at + 4, e, "Q" if at == s + 20 else "I")
+            t["duration"] = t["duration"] or length
+        elif kind == b"stts":  # how long the samples last, in runs
+            t["duration"] = sum(k * ticks for k, ticks in entries(view, s + 8, e, number(view, s + 4, e), "II")) or t["duration"]
         elif kind == b"stsd" and e - s >= 16:
             t["codec"] = bytes(view[s + 12 : s + 16]).decode("latin-1")
         elif kind == b"stsz":
-            fixed, n = struct.unpack_from(">II", view, s + 4)
-            t["sizes"] = (fixed, n, () if fixed else struct.unpack_from(f">{n}I", view, s + 12))
+            fixed, n = number(view, s + 4, e), number(view, s + 8, e)
+            sizes = () if fixed else [x for (x,) in entries(view, s + 12, e, n, "I")]
+            t["sizes"] = (fixed, n if fixed else len(sizes), sizes)
+        elif kind == b"stz2":
+            bits, n = number(view, s + 7, e, "B"), number(view, s + 8, e)
+            if bits == 4:
+                sizes = [x for (two,) in entries(view, s + 12, e, -(-n // 2), "B") for x in (two >> 4, two & 15)][:n]
+            else:
+                sizes = [x for (x,) in entries(view, s + 12, e, n, "B" if bits == 8 else "H")]
+            t["sizes"] = (0, len(sizes), sizes)
         elif kind in (b"stco", b"co64"):
-            n = struct.unpack_from(">I", view, s + 4)[0]
-            t["chunks"] = struct.unpack_from(f">{n}{'I' if kind == b'stco' else 'Q'}", view, s + 8)
+            t["chunks"] = [x for (x,) in entries(view, s + 8, e, number(view, s + 4, e), "I" if kind == b"stco" else "Q")]
         elif kind == b"stsc":
-            n = struct.unpack_from(">I", view, s + 4)[0]
-            t["runs"] = [struct.unpack_from(">III", view, s + 8 + 12 * i) for i in range(n)]
+            t["runs"] = entries(view, s + 8, e, number(view, s + 4, e), "III")
         elif kind == b"stss":
-            n = struct.unpack_from(">I", view, s + 4)[0]
-            t["syncs"] = set(struct.unpack_from(f">{n}I", view, s + 8))
+            t["syncs"] = {x for (x,) in entries(view, s + 8, e, number(view, s + 4, e), "I")}
     return out
 
 
-def samples(t: dict) -> Iterator[tuple[int, int, bool]]:
-    """(offset, size, key frame or not) of a track's samples. Without a sync table all are key frames."""
+def samples(t: dict, end: int) -> Iterator[tuple[int, int, bool]]:
+    """(offset, size, key frame or not) of a track's samples; of samples of one fixed size, which no table lists
+    one by one, those before ``end``, the file's. Without a sync table all are key frames."""
     fixed, n, sizes = t["sizes"]
     at, run = 0, 0
     for c, offset in enumerate(t["chunks"], 1):
         while run + 1 < len(t["runs"]) and t["runs"][run + 1][0] <= c:
             run += 1
         for _ in range(t["runs"][run][1] if t["runs"] else 1):
-            if at >= n:
-                return
-            size = fixed or sizes[at]
+            size = fixed or (sizes[at] if at < len(sizes) else 0)
+            if at >= n or fixed and offset + size > end:
+                break
             at += 1
             yield offset, size, t["syncs"] is None or at in t["syncs"]
             offset += size
 
 
+def read_tracks(data: bytes) -> list[dict]:
+    """For each track: codec, timescale, duration, number of samples, key-frame byte ranges, and the byte
+    ranges of all samples joined where they adjoin."""
+    out = []
+    for t in tracks(data):
+        keys, ranges = [], []
+        for offset, size, key in samples(t, len(data)):
+            if key:
+                keys.append((offset, offset + size))
+            if ranges and ranges[-1][1] == offset:
+                ranges[-1][1] = offset + size
+            else:
+                ranges.append([offset, offset + size])
+        out.append({"codec": t["codec"], "timescale": t["scale"], "duration": t["duration"], "n_samples": t["sizes"][1], "keyframes": keys, "ranges": ranges})
+    return out
+
+
 def read_container(data: bytes) -> dict:
-    """Codec, timescale, duration, number of samples, key-frame byte ranges, and the byte ranges of all
-    samples joined where they adjoin. A file without a track gives empty values."""
-    found = tracks(data)
-    if not found:
-        return {"codec": "", "timescale": 0, "duration": 0, "n_samples": 0, "keyframes": [], "ranges": []}
-    t, keys, ranges = found[0], [], []
-    for offset, size, key in samples(t):
-        if key:
-            keys.append((offset, offset + size))
-        if ranges and ranges[-1][1] == offset:
-            ranges[-1][1] = offset + size
-        else:
-            ranges.append([offset, offset + size])
-    return {"codec": t["codec"], "timescale": t["scale"], "duration": t["duration"], "n_samples": t["sizes"][1], "keyframes": keys, "ranges": ranges}
+    """The first track as ``read_tracks`` has it; empty values for a file without one."""
+    return next(iter(read_tracks(data)), {"codec": "", "timescale": 0, "duration": 0, "n_samples": 0, "keyframes": [], "ranges": []})
 
 
 def with_containers(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -168,8 +196,7 @@ def with_containers(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):  # a container column is as large as its texts: hand it on in parts
-                part = b.slice(lo, 1000)
+            for part in parts_of(b):  # a container column is as large as its texts: hand it on in parts
                 raw = [x.as_buffer().to_pybytes() for x in part.column(1).cast(pa.binary())]
                 media = pa.array([to_container(padded(x)) for x in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
@@ -180,41 +207,45 @@ def with_containers(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
 MEDIA_INDEX = (
     "codec string, timescale bigint, duration bigint, n_samples bigint, keyframes array<struct<start:bigint,end:bigint>>, "
+    "tracks array<struct<codec:string,timescale:bigint,duration:bigint,n_samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>>>, "
     "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
 )
 
 
 def media_index(table: DataFrame, media: str = "media") -> DataFrame:
-    """The rows of ``table`` with ``media`` replaced by its index and digests of the bytes stored in it.
-    Null media count as empty ones."""
-    others = [c for c in table.columns if c != media]
+    """The rows of ``table`` with ``media`` replaced by its index: the first track's fields and those of all
+    ``tracks``, and digests of the bytes stored in it (the payload is the first track's). Null media count as
+    empty ones. Columns of the table that have the index's names are replaced."""
+    new = [x.split(" ")[0] for x in re.split(r", (?![^<]*>)", MEDIA_INDEX)]
+    others = [c for c in table.columns if c != media and c not in new]
+    table = table.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{media}`").alias("_media"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
-            rows = {c: [] for c in ("codec", "timescale", "duration", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")}
-            for x in b.column(b.schema.get_field_index(media)):
+        fields = [("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", ranges)]
+        kinds = dict(fields) | {"tracks": pa.list_(pa.struct(fields)), "payload_sha256": pa.string(), "media_sha256": pa.string()}
+        for b in in_parts(batches):
+            rows = {c: [] for c in new}
+            for x in b.column(len(others)):
                 data = x.as_py() or b""
-                found = read_container(data)
+                found = read_tracks(data)
+                first = found[0] if found else read_container(b"")
                 digest, n, tail = hashlib.sha256(), 0, b""
-                for s, e in found["ranges"]:
+                for s, e in first["ranges"]:
                     digest.update(part := data[s:e])
                     n, tail = n + len(part), (tail + part[-SAMPLE:])[-SAMPLE:]
-                for k in ("codec", "timescale", "duration", "n_samples"):
-                    rows[k].append(found[k])
-                rows["keyframes"].append([{"start": s, "end": e} for s, e in found["keyframes"]])
-                for k, v in (("payload_bytes", n), ("payload_sha256", digest.hexdigest()), ("tail_crc32", zlib.crc32(tail)), ("media_bytes", len(data)), ("media_sha256", hashlib.sha256(data).hexdigest())):
+                shown = [{k: t[k] if k != "keyframes" else [{"start": s, "end": e} for s, e in t[k]] for k, _ in fields} for t in found]
+                values = (shown[0] if shown else {k: first[k] for k, _ in fields}) | {"tracks": shown, "payload_bytes": n, "payload_sha256": digest.hexdigest(), "tail_crc32": zlib.crc32(tail)}
+                for k, v in (values | {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}).items():
                     rows[k].append(v)
-            kinds = {"codec": pa.string(), "keyframes": ranges, "payload_sha256": pa.string(), "media_sha256": pa.string()}
-            arrays = [b.column(b.schema.get_field_index(c)) for c in others] + [pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items()]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*others, *rows])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items())], names=[*others, *rows])
 
     kept = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in others)
     return table.mapInArrow(index, f"{kept}, {MEDIA_INDEX}" if kept else MEDIA_INDEX)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media_index(with_containers(documents(spark, sf_dir)))
+    found = media_index(stored(with_containers(documents(spark, sf_dir)), "media", "zstd"))
     spans = F.transform("keyframes", lambda k: F.concat_ws("-", k["start"], k["end"]))
     feature = F.concat_ws(";", "codec", F.concat_ws("/", "duration", "timescale"), "n_samples", F.size("keyframes"), F.crc32(F.array_join(spans, ",").cast("binary")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import crc_mod, documents
+from tidewater.llm.common import crc_mod, documents, parts_of
 from tidewater.llm.svm import fit_svm
 
 SYMBOLS = 64  # letters are told apart in so many classes; 0 is no letter
@@ -35,8 +35,10 @@ OFFSETS = [(a, b) for a in range(1, WINDOW - 1) for b in range(a + 1, WINDOW)]
 #: Documents of each label that the machine is trained on, at most about so many.
 SAMPLE_PER_LABEL = 2000
 LANDMARKS = 192
+TELLING, TELLING_DOCS = 6.0, 3  # standard deviations, and toxic documents, that a telling fragment needs at most
 BACKGROUND = 12_000  # fragments without a known toxic association in the training sample
 CACHE_FRAGMENTS = 400_000
+PIECE, OVERLAP = 64, 16  # a longer fragment counts by its overlapping pieces, so scripts without blanks need no more memory
 THRESHOLD = 0.7
 
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -68,7 +70,8 @@ def fragments(text: str) -> set[str]:
             out.add("".join(parts))
     for m in SPACED.finditer(lower):
         out.add("".join(INSIDE.findall(m[0])))
-    return {f for f in out if len(f) >= 3}
+    cut = ([f] if len(f) <= PIECE else (f[k : k + PIECE] for k in range(0, len(f) - OVERLAP, PIECE - OVERLAP)) for f in out)
+    return {f for parts in cut for f in parts if len(f) >= 3}
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,12 +155,14 @@ def labelled_sentences(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, landmarks: int = LANDMARKS, rounds: int = 2) -> ToxicityModel | None:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). Null or empty texts and null labels
-    don't count; None with fewer than two labels, or if no fragment tells them apart. The sample takes
+    don't count, an id with several labels is toxic if one says so; None with fewer than two labels, or if no
+    fragment is in more toxic documents than its share. The sample takes
     about ``per_label`` documents of each label by a hash of the id, which also bounds what is broadcast.
-    Spark counts the documents of each label that hold a fragment; what comes to the driver is bounded:
+    A fragment is telling from a bound on that relates to the most telling one and to how many toxic documents
+    there are, so few labels give a machine too; equal ones go by their letters. Spark counts the documents of each label that hold a fragment; what comes to the driver is bounded:
     associated fragments, a background by hash (``BACKGROUND`` at most), and the sentences of the sample
     that hold an associated fragment."""
-    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -172,7 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, l
     stats = held.groupBy("word").agg(F.sum("toxic").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
     z = (F.col("p") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base) + 1e-9)
     scored = stats.withColumn("z", z)
-    telling = scored.filter("p >= 3 AND z >= 6").orderBy(F.desc("z"), "word").limit(landmarks * 4).collect()
+    often = min(TELLING_DOCS, 1 + n1 / 50)
+    best = scored.filter(F.col("p") >= often).agg(F.max("z")).first()[0] or 0.0
+    telling = scored.filter((F.col("p") >= often) & (F.col("z") >= min(TELLING, best / 2))).orderBy(F.desc("z"), "word").limit(landmarks * 4).collect() if best > 0 else []
     if not telling:
         sample.unpersist()
         return None
@@ -181,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, l
     plain = [r["word"] for r in plain]
     # sentences with a telling fragment, of toxic documents: the machine's candidates for witnesses
     known = F.array(*map(F.lit, share))
-    positive = sample.filter((F.col("toxic") == 1) & F.arrays_overlap("words", known)).select("words").limit(per_label * 8).collect()
+    positive = sample.filter((F.col("toxic") == 1) & F.arrays_overlap("words", known)).select("words").orderBy(F.xxhash64("words"), "words").limit(per_label * 8).collect()
     bags = [r["words"] for r in positive]
 
     chosen = [max((w for w in bag if w in share), key=lambda w: (share[w], w)) for bag in bags]
@@ -251,16 +258,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc_id`` and ``score`` for each row of ``docs``. Null and empty texts, and all texts without a
-    model, score 0. Whole texts count: a document is scored by its two most toxic distinct fragments."""
+    """``doc_id`` and ``score`` for each row of ``docs``; repeated rows and ids each get the same, other columns
+    are ignored. Null and empty texts, and all texts without a model, score 0. Whole texts count: a document
+    is scored by its two most toxic distinct fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new: dict[str, float] = {}
         old: dict[str, float] = {}
         for b in batches:
             out = []
-            for lo in range(0, b.num_rows, 256):
-                part = b.column(1).slice(lo, 256).to_pylist()
+            for part in parts_of(b.column(1), 256):
+                part = part.to_pylist()
                 bags = [fragments(t) if t and model else set() for t in part]
                 missing = set().union(*bags).difference(new) if bags else set()
                 if len(new) > CACHE_FRAGMENTS:
