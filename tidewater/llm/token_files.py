@@ -9,6 +9,7 @@ chunk index says for each block where its ids start, and a document index how ma
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,26 +19,40 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents, shared_dir, small_enough, whole_text
+from tidewater.llm.common import documents, in_parts, shared_dir, small_enough, whole_text
+from tidewater.llm.shingles import contents
 
 BLOCK_IDS = 65536
 END_ID = 0
-CACHE_WORDS = 250_000
+CACHE_WORDS, CACHE_BYTES = 250_000, 24_000_000  # of a generation of a worker's cache: words, and bytes of words and ids
+GROUP_BYTES = 1 << 18  # of texts encoded together
 MAX_BROADCAST_SHARDS = 100_000
 
 BLOCKS = "shard int, block int, first_id bigint, n_ids int, n_planes int, raw_bytes bigint, stored_bytes bigint, planes array<binary>, docs array<struct<doc_id:{id},start:bigint,n_tokens:bigint>>"
 
 
+def transposed(octets: np.ndarray) -> np.ndarray:
+    """Eight bit planes of a run of bytes, as rows: each group of eight bytes is an 8 by 8 matrix of bits,
+    transposed within one 64-bit number by three rounds of swaps."""
+    x = np.zeros(-(-len(octets) // 8) * 8, np.uint8)
+    x[: len(octets)] = octets
+    x = x.view("<u8")
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        swap = (x ^ (x >> np.uint64(shift))) & np.uint64(mask)
+        x = x ^ swap ^ (swap << np.uint64(shift))
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+
+
 def to_planes(ids: np.ndarray, unit: str = "bit") -> list[bytes]:
     """The planes of a block of ids, least significant first, each packed to bytes. Planes above the
     highest one in use are left out, so at least one remains for a block that isn't empty."""
     ids = ids.astype("<u4", copy=False)
     raw = ids.view(np.uint8).reshape(-1, 4)
-    if unit == "byte":
-        n = max(1, -(-int(ids.max()).bit_length() // 8))
-        return [np.ascontiguousarray(raw[:, k]).tobytes() for k in range(n)]
     n = max(1, int(ids.max()).bit_length())
-    return [np.packbits((ids >> k & 1).astype(np.uint8), bitorder="little").tobytes() for k in range(n)]
+    used = [np.ascontiguousarray(raw[:, k]) for k in range(-(-n // 8))]
+    if unit == "byte":
+        return [x.tobytes() for x in used]
+    return [plane.tobytes() for x in used for plane in transposed(x)][:n]
 
 
 def from_planes(planes: list[bytes], n: int, unit: str = "bit") -> np.ndarray:
@@ -52,7 +67,7 @@ def from_planes(planes: list[bytes], n: int, unit: str = "bit") -> np.ndarray:
 
 class WordIds:
     """Ids of texts, by the tokenizer's own pre-tokens: each distinct one is encoded once and kept in a
-    cache of two generations, so memory is bounded and frequent ones stay. Exact for byte-level models,
+    cache of two generations, bounded by words and bytes, so frequent ones stay. Exact for byte-level models,
     which never merge across pre-tokens; any other model is given the whole texts."""
 
     def __init__(self, path: str):
@@ -65,35 +80,61 @@ class WordIds:
         if self.by_word:
             import regex
 
-            # Fixed value: the public split pattern of byte-level models
-            self.split = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
+            # Fixed value: the public split pattern of byte-level models; its parts exclude each other but
+            # for the last, so words come first for speed
+            pattern = " ?{L}+| ?{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
+            self.split = regex.compile(re.sub(r"\{(.)\}", lambda m: r"\s" if m[1] == "S" else rf"\p{{{m[1]}}}", pattern)).findall
+            # the same over Latin-1 alone, where the plain engine is twice as fast
+            latin = "".join(map(chr, range(256)))
+            self.kinds = {k: "".join(map(re.escape, regex.findall(p, latin))) for k, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
+            narrow = pattern.replace("{L}+|", "[{L}]+|").replace("{N}+|", "[{N}]+|")
+            self.split_latin = re.compile(re.sub(r"\{(.)\}", lambda m: self.kinds[m[1]], narrow)).findall
             self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.split(text)
+        return self.split_latin(text)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode words that are in no cache: those of a blank and letters all as one text, which splits at
+        the blanks into just these words; others one by one."""
+        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        if len(spaced) > 1:
+            e = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
+            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+            if len(cuts) == len(spaced) + 1:
+                data, edges = ids.tobytes(), (4 * cuts).tolist()
+                self.new.update(zip(spaced, (data[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
+                words = [w for w in words if w not in self.new]
+        if words:
+            self.new.update(zip(words, self.whole(words), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
+        """The ids of each text as little-endian 32-bit integers. All unseen words of the texts are encoded
+        together, so give some at a time."""
         if not self.by_word:
             return self.whole(texts)
-        out = []
-        for t in texts:
-            if any(x in t for x in self.special):
-                out += self.whole([t])
-                continue
-            words = self.split(t)
-            missing = set(words).difference(self.new)
-            if missing:
-                if len(self.new) > CACHE_WORDS:
-                    self.new, self.old = {}, self.new
-                    missing = set(words)
-                self.new.update({w: self.old[w] for w in missing if w in self.old})
-                if unseen := [w for w in missing if w not in self.old]:
-                    self.new.update(zip(unseen, self.whole(unseen), strict=True))
-            out.append(b"".join(map(self.new.__getitem__, words)))
-        return out
+        split = [None if any(x in t for x in self.special) else self.words(t) for t in texts]
+        words = set().union(*filter(None, split))
+        if len(self.new) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.new, self.old, self.held = {}, self.new, 0
+        missing = words.difference(self.new)
+        if missing:
+            self.new.update({w: self.old[w] for w in missing if w in self.old})
+            self.learn([w for w in missing if w not in self.old])
+            self.held += sum(map(len, missing)) + sum(len(self.new[w]) for w in missing)
+        known = self.new.__getitem__
+        return [self.whole([t])[0] if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -108,7 +149,7 @@ def word_ids(path: str) -> WordIds:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text", id_col: str = "doc_id", unit: str = "bit", end_id: int = END_ID, level: int = 3) -> None:
     """Write ``docs`` as token files under ``path`` (a folder that all executors reach), ordered by id;
-    equal ids are ordered by text, null ids come first. Null texts are empty: their only id is the end id.
+    equal ids are ordered by their texts' hashes, null ids come first. Null texts are empty: their only id is the end id.
     No documents give no blocks. Other columns are ignored.
 
     Rows are dealt by (id, hash of the text, a spreading number), so even one id with a third of all rows
@@ -145,15 +186,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "t
             held_docs = [x for x in held_docs if x[1] + x[2] > first]
             return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
-        for b in batches:
+        for b in in_parts(batches):
             kind = b.schema.field("doc_id").type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = words.encode([t.as_py()])[0]
-                held_docs.append((i, first + held_bytes // 4, len(got) // 4 + 1))
-                held += (got, end)
-                held_bytes += len(got) + 4
-                while held_bytes >= 4 * BLOCK_IDS:
-                    yield flush(BLOCK_IDS)
+            at = contents(b.column(1))[1]
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + GROUP_BYTES, "right")) - 1)
+                for i, got in zip(b.column(0).slice(lo, hi - lo).to_pylist(), words.encode(b.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
+                    held_docs.append((i, first + held_bytes // 4, len(got) // 4 + 1))
+                    held += (got, end)
+                    held_bytes += len(got) + 4
+                    while held_bytes >= 4 * BLOCK_IDS:
+                        yield flush(BLOCK_IDS)
+                lo = hi
         if held_bytes:
             yield flush(held_bytes // 4)
 
@@ -211,7 +256,7 @@ def read_token_files(spark: SparkSession, path: str, unit: str = "bit", ids: boo
     kept = F.col("ids") if ids else F.when(~whole, F.col("ids"))
     parts = parts.select("shard", "doc_id", "start", "n_tokens", F.when(whole, F.crc32("ids")).alias("crc"), F.struct("at", kept.alias("ids")).alias("part"))
     docs = parts.groupBy("shard", "start", "doc_id", "n_tokens").agg(F.max("crc").alias("crc"), F.array_sort(F.collect_list("part")).alias("parts"))
-    data = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    data = F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))
     starts = shard_starts(spark.read.parquet(path))
     docs = docs.join(F.broadcast(starts) if small_enough(starts, MAX_BROADCAST_SHARDS) else starts, "shard")
     out = ["doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", F.coalesce("crc", F.crc32(data)).alias("ids_crc32")]
