@@ -58,7 +58,7 @@ def test_shingles_match_words():
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_duplicates(spark, seed, monkeypatch):
     rnd = random.Random(seed)
-    monkeypatch.setattr(ngram_join, "FREQUENT_FROM", 4)
+    monkeypatch.setattr(ngram_join, "COSTLY", 0.5 if seed == 1 else 48)
     passage = [rnd.choice(WORDS) + str(k) for k in range(60)]
     rows = []
     for g in range(25):
@@ -210,6 +210,28 @@ def test_other_containers():
     assert media.read_container(b"")["codec"] == "" and media.read_container(b"\xff" * 50)["n_samples"] == 0
 
 
+def test_tracks_and_lying_tables():
+    """Every track is indexed; compact sizes and durations by run; tables that claim more than they hold."""
+    import struct
+
+    box, full = media.box, media.full
+    stbl = lambda codec, *more: box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), *more)
+    trak = lambda *parts: box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, 600, 0)), box(b"minf", stbl(*parts))))
+    video = trak(b"avc1", full(b"stz2", struct.pack(">IIBB", 4, 3, 0x57, 0xB0)), full(b"stco", struct.pack(">II", 1, 8)), full(b"stsc", struct.pack(">4I", 1, 1, 3, 1)), full(b"stts", struct.pack(">5I", 2, 2, 10, 1, 30)))
+    audio = trak(b"mp4a", full(b"stsz", struct.pack(">II", 2, 4)), full(b"stco", struct.pack(">II", 1, 30)), full(b"stsc", struct.pack(">4I", 1, 1, 4, 1)))
+    found = media.read_tracks(box(b"moov", video, audio))
+    assert [(t["codec"], t["duration"], t["ranges"]) for t in found] == [("avc1", 50, [[8, 31]]), ("mp4a", 0, [[30, 38]])] and found[0]["keyframes"] == [(8, 13), (13, 20), (20, 31)]
+    for kind in (b"stsz", b"stz2", b"stco", b"co64", b"stsc", b"stss", b"stts", b"mdhd", b"stsd"):
+        for body in (b"", bytes(3), b"\x01", struct.pack(">III", 0, 0, 1 << 20), struct.pack(">III", 0, 1 << 20, 7)):
+            media.read_tracks(box(b"moov", box(b"trak", box(kind, body), box(b"stco", struct.pack(">III", 0, 1, 9)))))
+
+
+def test_media_index_replaces_clashing_names(spark):
+    table = media.with_containers(frame(spark, [(1, "x"), (1, "x"), (None, None)])).withColumn("codec", F.lit("clash")).withColumn("media_bytes", F.lit(None))
+    found = media.media_index(table)
+    assert len(set(found.columns)) == len(found.columns) and {r["codec"] for r in found.collect()} == {"raw "} and all(len(r["tracks"]) == 1 for r in found.collect())
+
+
 def test_svm():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(400, 5))
@@ -235,6 +257,8 @@ def test_language(spark):
     assert [got[k]["lang_pred"] for k in (1000, 1001, 1002)] == ["und"] * 3 and got[1003]["lang_pred"] != "und" and got[1004]["lang_pred"] == "en"
     assert all(0 <= r["lang_score"] <= 1 for r in got.values())
     assert language.fit(docs.limit(0)) is None and language.predict(docs.limit(3), None).filter("lang_pred = 'und'").count() == 3
+    odd = spark.createDataFrame([(k, t, None) for k, t in enumerate(["\u00b2", "\u00bd \u2460", "\u2167", "_", "\u4e00", "\u044f"])] * 2, "doc_id long, text string, lang string")
+    assert {(r["doc_id"], r["lang_pred"] == "und") for r in language.predict(odd, model).collect()} == {(k, k < 4) for k in range(6)}
     one = language.fit(docs.filter("lang = 'fr'"))
     assert language.predict(docs.filter("doc_id = 0"), one).first()["lang_pred"] == "fr"
 
@@ -268,6 +292,20 @@ def test_toxicity(spark):
     assert toxicity.score(docs, None).filter("score <> 0").count() == 0
 
 
+def test_few_labels_give_a_machine(spark):
+    rnd = random.Random(3)
+    plain = lambda n: " ".join("".join(rnd.choice(["er", "an", "th", "in", "ou", "re", "st"]) for _ in range(rnd.randint(2, 4))) for _ in range(n))
+    rows = [(k, plain(40) + (f" you {rnd.choice(['nitwit', 'blockhead'])} " if k % 5 == 0 else " ") + plain(10)) for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(60)] * 2, "doc_id long, toxic int")  # each twice
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, rows), toxicity.fit(frame(spark, rows), labels)).collect()}
+    assert sum(got[k] >= 0.7 for k in range(0, 60, 5)) >= 10 and sum(got[k] >= 0.7 for k in got if k % 5) <= 2
+
+
+def test_long_fragments_are_cut():
+    found = toxicity.fragments("一" * 100 + "idiot" + "二" * 5000)
+    assert max(map(len, found)) == toxicity.PIECE and any("idiot" in f for f in found)
+
+
 def test_disguises_late_in_a_long_token():
     for joint in "_|/":
         assert "idiot" in toxicity.fragments("x" * 45 + joint + "id1ot")
