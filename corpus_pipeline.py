@@ -19,10 +19,14 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a language: null texts and texts without a letter. Where ``lang`` is null, the
+    predicted one takes its place. If no row has a usable text and language, none can be learned or filled in,
+    and the same documents go."""
     model = language.fit(docs.filter(crc_mod("doc_id", 5) != 0))
-    found = language.predict(docs, model)
-    return (found.filter("lang_pred <> 'und'") if model else found).select(*docs.columns)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language.predict(docs, model).filter("lang_pred <> 'und'")
+    return found.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
