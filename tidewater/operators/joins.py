@@ -6,17 +6,24 @@ planner chooses join types; only dimensions whose size is checked are broadcast.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.clock import parse_date
 
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows of at most ``MAX_BROADCAST_BYTES`` in
+    all (text by its characters, all else by 16 bytes a value), else as it is."""
+    text = [F.length(F.col(f"`{c}`")) for c, t in df.dtypes if t == "string"]
+    width = reduce(lambda a, b: a + F.coalesce(b, F.lit(0)), text, F.lit(16 * len(df.columns)))
+    flat = all(not t.startswith(("array", "map", "struct", "binary")) for _, t in df.dtypes)
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if flat and rows <= max_rows and size <= MAX_BROADCAST_BYTES else df
 
 
 def padded_key(c: str | Column, width: int = 5) -> Column:

@@ -7,13 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hashed(keys: list[str], seed: int) -> Column:
-    return F.xxhash64(*keys, F.lit(seed))
+BITS = 60
+MAX_TOP = 100_000  # rows of a sample that one task may gather
 
 
-def unit(keys: list[str], seed: int) -> Column:
-    """A number in [0, 1) for each key."""
-    return F.pmod(hashed(keys, seed), F.lit(1 << 53)) / float(1 << 53)
+def hashed(keys: list[str], seed: int, purpose: str = "") -> Column:
+    """The first 60 bits of the md5 of the keys' text (null: empty), the purpose and the seed. Choices for
+    different purposes don't depend on each other."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], F.lit(f"{purpose}{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+
+
+def unit(keys: list[str], seed: int, purpose: str = "") -> Column:
+    """A number from 0 to 1 for each key."""
+    return hashed(keys, seed, purpose) / F.lit(float(1 << BITS))
 
 
 def ordered(df: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
@@ -33,8 +40,11 @@ def first_values(df: DataFrame, c: str, k: int = 10) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """SMP-01: exactly ``n`` rows (all if there are fewer): the smallest hashes, by a bounded top-n."""
-    return df.orderBy(hashed(keys, seed), *keys).limit(n)
+    """SMP-01: exactly ``n`` rows (all if there are fewer): the smallest hashes. A small sample is a top-n kept by
+    each task; for a large one, a threshold over counts by hash bucket is found and only its bucket is ranked."""
+    if n <= MAX_TOP:
+        return df.orderBy(hashed(keys, seed), *keys).limit(n)
+    return between_ranks(df, unit(keys, seed), keys, 0, n)
 
 
 def balanced_train_test(df: DataFrame, label: str, keys: list[str], train_ratio: float = 0.75, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -82,18 +92,18 @@ def under_sample(df: DataFrame, label: str, fractions: dict, keys: list[str], se
     rate = F.lit(1.0)
     for value, fraction in fractions.items():
         rate = F.when(F.col(label) == value, F.lit(float(fraction))).otherwise(rate)
-    return df.filter(unit(keys, seed) < rate)
+    return df.filter(unit(keys, seed, "thin") < rate)
 
 
 def split(df: DataFrame, ratio: float, keys: list[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """SMP-05: two disjoint parts, about ``ratio`` and the rest."""
-    u = unit(keys, seed)
+    u = unit(keys, seed, "split")
     return df.filter(u < ratio), df.filter(u >= ratio)
 
 
 def with_fold(df: DataFrame, k: int, keys: list[str], seed: int = 42, name: str = "fold") -> DataFrame:
     """SMP-06."""
-    return df.withColumn(name, F.pmod(hashed(keys, seed), F.lit(k)).cast("int"))
+    return df.withColumn(name, F.pmod(hashed(keys, seed, "fold"), F.lit(k)).cast("int"))
 
 
 def at_most(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:

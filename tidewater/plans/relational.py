@@ -215,9 +215,14 @@ def balanced_set_size(spark, d):
     return sampling.balanced(o, "label", ["o_orderkey"]).agg(F.count(F.when(F.col("label") == 1, 1)).alias("n1"), F.count(F.when(F.col("label") == 0, 1)).alias("n0"))
 
 
-@query()
+def hash_sql(key: str, purpose: str = "") -> str:
+    return f"(CAST('0x' || substr(md5({key} || '|{purpose}42'), 1, 15) AS BIGINT))"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INT) AS label, {hash_sql('o_orderkey', 'thin')} / 1152921504606846976::DOUBLE AS thin, {hash_sql('o_orderkey', 'split')} / 1152921504606846976::DOUBLE AS side, {hash_sql('o_orderkey', 'fold')} % 5 AS f FROM orders)
+SELECT label, CAST(CASE WHEN side < 0.8 THEN f ELSE -1 END AS INT) AS fold, count(*) AS n FROM o WHERE label = 1 OR thin < 0.5 GROUP BY ALL""")
 def under_sampled_orders(spark, d):
-    """SMP-04, SMP-05, SMP-06: one class thinned, the rest split and given folds; hashes have no SQL twin."""
+    """SMP-04, SMP-05, SMP-06: one class thinned, the rest split and given folds."""
     o = table(spark, d, "orders").withColumn("label", flag(F.col("o_orderstatus") == "F"))
     kept, rest = sampling.split(sampling.under_sample(o, "label", {0: 0.5}, ["o_orderkey"]), 0.8, ["o_orderkey"])
     folded = sampling.with_fold(kept, 5, ["o_orderkey"]).unionByName(rest.withColumn("fold", F.lit(-1)))

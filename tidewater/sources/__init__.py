@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,18 @@ def write_csv(df: DataFrame, path: str, max_rows: int | None = None, keys: list[
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name where driver and executors share files: under ``spark.checkpoint.dir``, or under a
+    local folder where a local session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/tidewater")
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """SNK-04."""
     model.write().overwrite().save(path)
