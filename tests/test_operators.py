@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import clean, joins, profiling, sampling, schema, windows
+from tidewater.operators import clean, joins, profiling, ranks, sampling, schema, windows
 
 
 def rows(df):
@@ -126,3 +126,22 @@ def test_profiles_of_empty_frames(spark):
     assert profiling.missing_counts(df).agg(F.sum("n_missing")).first()[0] == 0
     assert profiling.text_profile(df, ["t"]).first()["n_null"] == 0
     assert profiling.step_counts(df, {"x": F.col("a") > 0}).first()["kept"] is None
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_exact_ranks(spark, monkeypatch, seed):
+    """Brackets are narrowed to the value of each rank, ties and two heavy values included."""
+    import random
+
+    monkeypatch.setattr(ranks, "MAX_ORDERED", 20)
+    monkeypatch.setattr(ranks, "ACCURACY", 50)
+    rnd = random.Random(seed)
+    values = [rnd.choice([1.0, 2.0]) for _ in range(400)] if seed == 1 else [float(rnd.randint(0, 10 ** rnd.randint(0, 6))) for _ in range(900)] + [7.0] * 300
+    df = spark.createDataFrame([(x,) for x in values] + [(None,)] * 5, "x double")
+    order = sorted(values)
+    at = [0, 1, len(order) // 3, len(order) // 2, len(order) - 2, len(order) - 1]
+    assert ranks.values_at(df, "x", ranks=at) == {r: order[r] for r in at}
+    place = 0.3 * (len(order) - 1)
+    low = order[int(place)]
+    assert ranks.values_at(df, "x", shares=[0.3])[0.3] == pytest.approx(low + (order[int(place) + 1] - low) * (place - int(place)))
+    assert ranks.values_at(df.limit(0), "x", shares=[0.5]) == {} and clean.within_iqr(df.limit(0), "x").count() == 0

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.ranks import values_at
+
 
 def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """PRJ-01: all columns in one projection."""
@@ -88,9 +90,11 @@ def any_present(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def within_iqr(df: DataFrame, c: str, k: float = 1.5) -> DataFrame:
     """FLT-05: rows within ``k`` interquartile ranges of the exact quartiles; null values go."""
-    q = df.agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("_q1"), F.col("q")[1].alias("_q3"))
-    margin = (F.col("_q3") - F.col("_q1")) * k
-    return df.join(F.broadcast(q), F.col(c).between(F.col("_q1") - margin, F.col("_q3") + margin)).drop("_q1", "_q3")  # one row
+    q = values_at(df, c, shares=[0.25, 0.75])
+    if not q:
+        return df.limit(0)
+    margin = (q[0.75] - q[0.25]) * k
+    return df.filter(F.col(c).between(q[0.25] - margin, q[0.75] + margin))
 
 
 def fill(df: DataFrame, values: dict) -> DataFrame:
