@@ -1,7 +1,7 @@
 """From raw documents to token files: five stages, each over all that the one before kept.
 
 ``run`` writes every stage's rows into the shared folder and reads them again for the next, so a lost
-executor costs at most one stage's tasks. SQL has no support vector machines, so there is no SQL for the
+executor costs at most one stage's tasks, and deletes a stage's rows once the next ones are written. SQL has no support vector machines, so there is no SQL for the
 whole run (``ORACLE_SQL`` is None); tests hold each stage against a brute-force version.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import contamination, language, mixing, ngram_join, token_files
-from tidewater.llm.common import checkpointed, crc_mod, shared_dir, stored
+from tidewater.llm.common import checkpointed, crc_mod, drop_stored, shared_dir, stored
 
 ORACLE_SQL = None
 
@@ -31,13 +31,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near duplicates; of rows that share an id,
-    one. Rows without an id are in no class and stay."""
+    the one with the smallest hash of its columns, whatever the partitions. Rows without an id are in no class
+    and stay."""
     found = checkpointed(ngram_join.near_duplicates(docs, count_links=False).select("doc_id", "component_id"))
     kept = ngram_join.only(docs, found.filter("doc_id <> component_id").select("doc_id").distinct(), "left_anti")
     repeated = checkpointed(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
-    return ngram_join.only(kept, repeated, "left_anti").unionByName(ngram_join.only(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept.columns])
+    first = ngram_join.only(kept, repeated, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return ngram_join.only(kept, repeated, "left_anti").unionByName(first)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +51,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source to its target: documents below its threshold once more than the others, repeats
-    as repeated rows."""
+    as repeated rows; rows that share an id, or have none, are taken together."""
     return mixing.mixed_documents(docs).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and reads them back: doc_id, start, n_tokens, ids_crc32."""
+    """Writes the token files and reads them back: doc_id, start, n_tokens, ids_crc32; no documents give no rows.
+    The files are the pipeline's product and stay."""
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/pipeline-tokens-{uuid.uuid4().hex}"
@@ -71,7 +75,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            drop_stored(before)
+        before = docs
+    found = STAGES[-1][1](spark, docs, sf_dir)  # has written its files by now
+    drop_stored(docs)
+    return found
