@@ -55,6 +55,30 @@ def test_stages(spark, corpus):
         start += len(ids)
     got = corpus_pipeline.STAGES[4][1](spark, docs, d)
     assert sorted(tuple(r) for r in got.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == files
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, d).select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == files
+
+
+def test_language_is_filled_in(spark, corpus):
+    d, rows = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "text", "CASE WHEN doc_id % 7 <> 0 THEN lang END AS lang")
+    found = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, d).collect()}
+    assert sum(found[r[0]] == r[2] for r in rows if r[0] in found) >= len(found) - 3 and None not in found.values()
+    unknown = corpus_pipeline.identify_language(spark, docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"), d)
+    assert {r["doc_id"] for r in unknown.collect()} == set(found)
+
+
+def test_repeated_ids_keep_a_stable_row(spark, corpus):
+    d, _ = corpus
+    rows = [(5, "first text of the two it is"), (5, "second text of the two here"), (5, "first text of the two it is"), (None, "some words"), (None, "some words"), (6, None)]
+    kept = [{tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(x, "doc_id long, text string").repartition(n), d).collect()} for x, n in ((rows, 1), (rows[::-1], 3))]
+    assert kept[0] == kept[1] and len([r for r in kept[0] if r[0] == 5]) == 1
+
+
+def test_empty_corpus(spark, corpus, tmp_path):
+    d, _ = corpus
+    spark.read.parquet(f"{d}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{d}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_decontamination_judges_each_row(spark, corpus):
