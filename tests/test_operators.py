@@ -1,5 +1,7 @@
 """Cleaning, joins, windows, samples and schema functions on small frames."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,34 @@ def test_exact_ranks(spark, monkeypatch, seed):
     low = order[int(place)]
     assert ranks.values_at(df, "x", shares=[0.3])[0.3] == pytest.approx(low + (order[int(place) + 1] - low) * (place - int(place)))
     assert ranks.values_at(df.limit(0), "x", shares=[0.5]) == {} and clean.within_iqr(df.limit(0), "x").count() == 0
+
+
+def test_windows_cut_at_buckets(spark):
+    rnd = random.Random(9)
+    rows = [(k, rnd.choice([1, 1, 1, 2, None]), rnd.choice([None, *range(0, 3000, 7)]), rnd.choice([None, float(rnd.randrange(9))])) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, k int, s long, v double")
+    bucket = windows.bucket_of(df, "s", 100)
+    plain = lambda x: sorted(map(str, x.collect()))
+    assert plain(clean.fill_along(df, ["v"], ["k"], ["s", "id"], bucket)) == plain(clean.fill_along(df, ["v"], ["k"], ["s", "id"]))
+    assert plain(windows.deltas(df, ["v"], ["k"], ["s", "id"], bucket=bucket)) == plain(windows.deltas(df, ["v"], ["k"], ["s", "id"]))
+    # as-of over spans of a week against brute force, with keys and times that are null
+    week = 7 * 86_400
+    obs = [(rnd.choice([1, 2, None]), rnd.choice([None, *range(0, 9 * week, week // 3)]), n) for n in range(12)]
+    facts = [(n, rnd.choice([1, 2, 3, None]), rnd.randrange(9 * week)) for n in range(60)]
+    got = joins.as_of(spark.createDataFrame(facts, "id int, k int, t long"), spark.createDataFrame(obs, "k int, t long, n int"), "k", "t", "k", "t", ["n"])
+    want = {i: max(((t if t is not None else -1, n) for j, t, n in obs if k is not None and j == k and (t is None or t <= at)), default=None) for i, k, at in facts}
+    assert {r["id"]: r["as_of"] and (-1 if r["as_of"]["time"] is None else r["as_of"]["time"], r["as_of"]["n"]) for r in got.collect()} == want
+
+
+def test_nearest_and_coverage(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([1, 2]), rnd.randrange(2 * 86_400), n) for n in range(90)]
+    df = spark.createDataFrame(rows, "k int, s long, n int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r["k"], str(r["day"]), r["hour"]): (r["distance"], r["n"]) for r in joins.nearest_to_hours(df, "k", "ts", "n").collect()}
+    for (k, day, hour), found in got.items():
+        low = 86_400 * (day == "1970-01-02")
+        assert found == min((abs(low + hour * 3600 - s), n) for j, s, n in rows if j == k and low <= s < low + 86_400)
+    assert len(got) == 96
+    facts = spark.createDataFrame([(1, k, f"2024-01-0{d} {h}:30:00") for k, d, h in ((1, 1, 10), (1, 1, 11), (1, 2, 10), (9, 1, 10))], "id int, k int, t string").withColumn("t", F.to_timestamp("t"))
+    seen = spark.createDataFrame([(1, "2024-01-01 10:05:00")], "k int, t string").withColumn("t", F.to_timestamp("t"))
+    assert [r["reason"] for r in joins.coverage(facts, seen, "k", "t", "k", "t").orderBy("k", "t").collect()] == ["matched", "missing_hour", "missing_date", "missing_station"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.ranks import values_at
+from tidewater.operators.windows import with_edges
 
 
 def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -146,11 +147,17 @@ def missing_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns or df.columns])
 
 
-def fill_along(df: DataFrame, columns: list[str], by: list[str], order: list[str]) -> DataFrame:
-    """NUL-07: the last known value before, else the first after, within ``by`` in ``order``."""
-    w = Window.partitionBy(*by).orderBy(*order)
+def fill_along(df: DataFrame, columns: list[str], by: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
+    """NUL-07: the last known value before, else the first after, within ``by`` in ``order``. With a
+    ``bucket`` of time, which must not fall along ``order``, a key's history is a task a bucket."""
+    rows, cut, at = df, [], F.struct(*order)
+    if bucket is not None:
+        known = {c: F.when(F.col(c).isNotNull(), at) for c in columns}
+        rows, cut, order = with_edges(df, by, bucket, {c: F.max_by(c, k) for c, k in known.items()}, {c: F.min_by(c, k) for c, k in known.items()}), ["_bucket"], ["_place", *order]
+    w = Window.partitionBy(*by, *cut).orderBy(*order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in columns})
+    rows = rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in columns})
+    return rows if bucket is None else rows.filter("_place = 0").drop("_place", "_bucket")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str] | None = None) -> DataFrame:

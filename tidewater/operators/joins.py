@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.clock import parse_date
+from tidewater.operators.windows import bucket_of, with_edges
 
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 500_000, 64 << 20
 
@@ -123,11 +124,17 @@ def coverage_report(covered: DataFrame) -> DataFrame:
 
 def nearest_to_hours(observations: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     """JOIN-09: for each key and day of the frame and each of its 24 hours, the observation of that day
-    nearest in time; ties go to the smaller ``tie``."""
-    o = observations.select(key, F.to_date(time).alias("day"), F.unix_timestamp(time).alias("_t"), tie)
-    grid = o.select(key, "day").distinct().select(key, "day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    near = grid.join(o, [key, "day"]).withColumn("distance", F.abs(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("hour") * 3600 - F.col("_t")))
-    return near.groupBy(key, "day", "hour").agg(F.min(F.struct("distance", tie)).alias("_n")).select(key, "day", "hour", "_n.*")
+    nearest in time; ties go to the smaller ``tie``. Rows without a key or time are left out.
+
+    Only an hour's first and last observation can be nearest to a full hour, so those are aggregated, and
+    the 24 hours of a key-day look among 48 of them at most."""
+    o = observations.select(key, F.to_date(time).alias("day"), F.unix_timestamp(time).alias("_t"), tie).filter(F.col(key).isNotNull() & F.col("_t").isNotNull())
+    o = o.withColumn("_t", F.col("_t") - F.unix_timestamp(F.col("day").cast("timestamp")))
+    ends = o.groupBy(key, "day", F.floor(F.col("_t") / 3600).alias("_h")).agg(F.min(F.struct("_t", tie)).alias("_first"), F.min(F.struct((-F.col("_t")).alias("_t"), tie)).alias("_last"))
+    ends = ends.select(key, "day", F.explode(F.array("_first", F.struct((-F.col("_last._t")).alias("_t"), F.col(f"_last.{tie}").alias(tie)))).alias("_e"))
+    days = ends.groupBy(key, "day").agg(F.collect_list("_e").alias("_e"))
+    nearest = lambda h: F.array_min(F.transform("_e", lambda e: F.struct(F.abs(h * 3600 - e["_t"]).alias("distance"), e[tie].alias(tie))))
+    return days.select(key, "day", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(23)), nearest)).alias("hour", "_n")).select(key, "day", "hour", "_n.*")
 
 
 def range_statistics(facts: DataFrame, key: str, seconds: str, value: str, row_id: str, low: int, high: int, names: str = "range") -> DataFrame:
@@ -170,15 +177,18 @@ def join_buckets(facts: DataFrame, statistics: DataFrame, key: str, bucket: str)
 
 def as_of(facts: DataFrame, observations: DataFrame, key: str, time: str, obs_key: str, obs_time: str, fields: list[str], name: str = "as_of") -> DataFrame:
     """JOIN-15: each fact with the last observation at or before it, as a struct with its time; null if
-    there is none. One sort over the union of both sides, no range join; a tie takes the greatest."""
+    there is none. One sort over the union of both sides, no range join; a tie takes the greatest. A key's
+    history is cut into spans, each of which gets the last observation before it."""
     lead = [F.col(obs_time).alias("time"), *[F.col(f) for f in fields]]
     kind = observations.select(F.struct(*lead).alias("s")).schema["s"].dataType
     row = F.struct(*facts.columns)
     a = facts.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(1).alias("_late"), row.alias("_f"), F.lit(None).cast(kind).alias("_o"))
     b = observations.select(F.col(obs_key).alias("_k"), F.col(obs_time).alias("_t"), F.lit(0).alias("_late"), F.lit(None).cast(facts.select(row.alias("f")).schema["f"].dataType).alias("_f"), F.struct(*lead).alias("_o"))
-    w = Window.partitionBy("_k").orderBy("_t", "_late", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("_last", F.last("_o", ignorenulls=True).over(w))
-    return both.filter("_late = 1").select("_f.*", F.when(F.col("_k").isNotNull(), F.col("_last")).alias(name))
+    both = a.unionByName(b)
+    both = with_edges(both, ["_k"], bucket_of(both, "_t"), before={"_o": F.max("_o")})
+    w = Window.partitionBy("_k", "_bucket").orderBy("_place", "_t", "_late", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_last", F.last("_o", ignorenulls=True).over(w))
+    return both.filter("_place = 0 AND _late = 1").select("_f.*", F.when(F.col("_k").isNotNull(), F.col("_last")).alias(name))
 
 
 def within_interval(facts: DataFrame, observations: DataFrame, key: str, time: str, row_id: str, obs_key: str, obs_time: str, tie: str, minutes: int = 30, fields: list[str] | None = None) -> DataFrame:
@@ -197,8 +207,10 @@ def interpolate_hours(observations: DataFrame, key: str, time: str, value: str)
     """JOIN-17: the value at each whole hour from a key's first to its last observation, linear between
     the one before and the one after. Observations at one time count by their mean."""
     o = observations.groupBy(F.col(key).alias("key"), F.unix_timestamp(time).alias("t")).agg(F.avg(value).alias("v"))
-    ahead = Window.partitionBy("key").orderBy("t")
-    pieces = o.select("key", "t", "v", F.lead("t").over(ahead).alias("t2"), F.lead("v").over(ahead).alias("v2"))
+    o = o.withColumn("p", F.struct("t", "v"))
+    o = with_edges(o, ["key"], bucket_of(o, "t"), after={"p": F.min("p")})
+    ahead = F.lead("p").over(Window.partitionBy("key", "_bucket").orderBy("_place", "t"))
+    pieces = o.withColumn("p2", ahead).filter("_place = 0").select("key", "t", "v", F.col("p2.t").alias("t2"), F.col("p2.v").alias("v2"))
     first = F.ceil(F.col("t") / 3600)
     last = F.coalesce(F.ceil(F.col("t2") / 3600) - 1, F.floor(F.col("t") / 3600))  # the next piece begins at its own time
     hours = pieces.filter(first <= last).withColumn("hour", F.explode(F.sequence(first, last)))

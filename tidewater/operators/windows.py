@@ -1,4 +1,7 @@
-"""Window features of event series (WIN-01 to WIN-09, AGG-02). Orders carry a tie-breaker."""
+"""Window features of event series (WIN-01 to WIN-09, AGG-02). Orders carry a tie-breaker.
+
+A window over a key's whole history is one task a key. Where a ``bucket`` of time is given, the window is
+cut at its bounds and each piece gets what it needs of its neighbours, so a hot key is many tasks."""
 
 from __future__ import annotations
 
@@ -9,6 +12,30 @@ from tidewater.functions.clock import DAY, hhmm_to_minutes
 from tidewater.functions.flags import at_least, buckets, flag
 
 
+SPAN = 7 * 86_400  # seconds of a bucket
+
+
+def bucket_of(df: DataFrame, time: str, seconds: int = SPAN) -> Column:
+    """The number of the span of ``seconds`` that a timestamp, date or count of seconds is in."""
+    at = F.unix_date(F.col(time)) * 86_400 if dict(df.dtypes)[time] == "date" else F.col(time).cast("double")
+    return F.floor(at / seconds)
+
+
+def with_edges(df: DataFrame, by: list[str], bucket: Column, before: dict[str, Column] | None = None, after: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with ``_bucket`` and ``_place`` 0, and for each key and bucket a row of place -1 with the columns
+    ``before`` and one of place 1 with ``after``: each aggregate's last value in the key's earlier buckets, or
+    first in its later ones, that is not null. The aggregates combine before their shuffle, and the windows
+    here hold a row a bucket."""
+    df = df.withColumns({"_bucket": bucket, "_place": F.lit(0)})
+    out = df
+    for place, found, order in ((-1, before, F.asc("_bucket")), (1, after, F.desc("_bucket"))):
+        if found:
+            w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            per = df.groupBy(*by, "_bucket").agg(*[c.alias(n) for n, c in found.items()])
+            out = out.unionByName(per.select(*by, "_bucket", F.lit(place).alias("_place"), *[F.last(n, ignorenulls=True).over(w).alias(n) for n in found]), allowMissingColumns=True)
+    return out
+
+
 def partition_counts(df: DataFrame, keys: dict[str, str | list[str]]) -> DataFrame:
     """WIN-01: how many rows share each key, as columns. Counts are aggregated and joined back, so a hot
     key is combined before the shuffle."""
@@ -41,10 +68,16 @@ def _statistics(value: Column | str, thresholds: list[float], prefix: str) -> di
 
 def trailing_statistics(df: DataFrame, key: str, seconds: str, value: str, low: int, high: int, thresholds: list[float], prefix: str = "trailing") -> DataFrame:
     """WIN-03: statistics of the key's rows from ``high`` to ``low`` seconds before each row, by a range
-    frame. Null statistics become 0 where nothing lies in the frame, but the standard deviation stays null."""
-    w = Window.partitionBy(key).orderBy(seconds).rangeBetween(-high, -low)
+    frame. Null statistics become 0 where nothing lies in the frame, but the standard deviation stays null.
+    The key's history is cut into spans; a span's last ``high`` seconds are given to the next one too."""
+    width = max(SPAN, 8 * high)
+    own = F.floor(F.col(seconds) / width)
+    near_end = F.col(seconds) - own * width >= width - high
+    rows = df.withColumn("_bucket", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(key, "_bucket").orderBy(seconds).rangeBetween(-high, -low)
     found = {k: c.over(w) for k, c in _statistics(value, thresholds, prefix).items()}
-    return df.withColumns({k: c if k.endswith("_std") else F.coalesce(c, F.lit(0)) for k, c in found.items()})
+    rows = rows.withColumns({k: c if k.endswith("_std") else F.coalesce(c, F.lit(0)) for k, c in found.items()})
+    return rows.filter(F.col("_bucket").eqNullSafe(own)).drop("_bucket")
 
 
 def hour_statistics(df: DataFrame, key: str, seconds: str, value: str, thresholds: list[float], prefix: str = "hour") -> DataFrame:
@@ -64,10 +97,15 @@ def rolled_buckets(stats: DataFrame, key: str, first: int, last: int, prefix: st
     )
 
 
-def previous(df: DataFrame, columns: dict[str, str], by: list[str], order: list[str]) -> DataFrame:
-    """WIN-05, WIN-07: values of the row before, under new names."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumns({new: F.lag(c).over(w) for c, new in columns.items()})
+def previous(df: DataFrame, columns: dict[str, str], by: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
+    """WIN-05, WIN-07: values of the row before, under new names. ``bucket`` must not fall along ``order``;
+    without it a key is one task, which suits keys with a day in them."""
+    if bucket is None:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumns({new: F.lag(c).over(w) for c, new in columns.items()})
+    rows = with_edges(df.withColumn("_row", F.struct(*columns)), by, bucket, before={"_row": F.max_by("_row", F.struct(*order))})
+    rows = rows.withColumn("_before", F.lag("_row").over(Window.partitionBy(*by, "_bucket").orderBy("_place", *order))).filter("_place = 0")
+    return rows.withColumns({new: F.col("_before")[c] for c, new in columns.items()}).drop("_row", "_before", "_bucket", "_place")
 
 
 def turnaround(departure: str, previous_arrival: str, previous_delay: str) -> dict[str, Column]:
@@ -88,10 +126,10 @@ def gap_flags(buffer: Column) -> dict[str, Column]:
     }
 
 
-def deltas(df: DataFrame, columns: list[str], by: list[str], order: list[str], suffix: str = "_delta") -> DataFrame:
-    """WIN-08: value less that of the row before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumns({f"{c}{suffix}": F.col(c) - F.lag(c).over(w) for c in columns})
+def deltas(df: DataFrame, columns: list[str], by: list[str], order: list[str], suffix: str = "_delta", bucket: Column | None = None) -> DataFrame:
+    """WIN-08: value less that of the row before. ``bucket`` as in ``previous``."""
+    before = previous(df, {c: f"{c}{suffix}" for c in columns}, by, order, bucket)
+    return before.withColumns({f"{c}{suffix}": F.col(c) - F.col(f"{c}{suffix}") for c in columns})
 
 
 def popularity_of(df: DataFrame, key: str, bounds: list[tuple[float, str]], other: str, name: str) -> DataFrame:

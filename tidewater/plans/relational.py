@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.flags import dataset_flags, delay_explanations, delay_labels, delay_targets, flag
 from tidewater.operators import clean, joins, profiling, sampling
+from tidewater.operators.windows import bucket_of
 from tidewater.plans.registry import longs, query, rounded, table
 
 
@@ -167,7 +168,7 @@ SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id
 def filled_along(spark, d):
     """NUL-07, WIN-09."""
     e = table(spark, d, "events").withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
-    return clean.fill_along(e, ["value"], ["user_id"], ["ts", "event_id"]).select("event_id", "value")
+    return clean.fill_along(e, ["value"], ["user_id"], ["ts", "event_id"], bucket_of(e, "ts")).select("event_id", "value")
 
 
 @query("SELECT s AS side, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS s FROM orders UNION ALL SELECT 'a' FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")

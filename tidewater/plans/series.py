@@ -48,7 +48,7 @@ def look_back_offsets(spark, d):
     return out.select("event_id", F.coalesce(F.size("observations"), F.lit(0)).cast("long").alias("n"), F.col("observations")[0]["hours_before"].alias("nearest"), F.round(total, 4).alias("total"))
 
 
-OBS = "event_type IN ('view', 'click') AND user_id % 7 <> 3"
+OBS = "event_type = 'signup'"
 
 
 @query(f"""WITH {E}, o AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d, hour(ts) AS hh FROM e WHERE {OBS}), c AS (SELECT e.event_id,
@@ -57,7 +57,7 @@ OBS = "event_type IN ('view', 'click') AND user_id % 7 <> 3"
   LEFT JOIN o ON o.user_id = e.user_id AND o.d = CAST(e.ts AS DATE) AND o.hh = hour(e.ts) WHERE e.event_type = 'purchase')
 SELECT reason, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 2) AS pct FROM c GROUP BY 1""")
 def join_coverage(spark, d):
-    """JOIN-08: purchases against the views and clicks of some users."""
+    """JOIN-08: purchases against the signups."""
     e = events(spark, d)
     return joins.coverage_report(joins.coverage(e.filter("event_type = 'purchase'"), e.filter(OBS), "user_id", "ts", "user_id", "ts"))
 
@@ -164,7 +164,8 @@ def previous_event_gaps(spark, d):
 @query(f"WITH {E} SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS value_delta FROM e")
 def event_deltas(spark, d):
     """WIN-08."""
-    return windows.deltas(events(spark, d), ["value"], ["user_id"], ["ts", "event_id"]).select("event_id", rounded("value_delta").alias("value_delta"))
+    e = events(spark, d)
+    return windows.deltas(e, ["value"], ["user_id"], ["ts", "event_id"], bucket=windows.bucket_of(e, "ts")).select("event_id", rounded("value_delta").alias("value_delta"))
 
 
 @query("""SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS customer_orders, CASE WHEN count(*) OVER (PARTITION BY o_custkey) >= 15 THEN 'high' WHEN count(*) OVER (PARTITION BY o_custkey) >= 8 THEN 'medium' ELSE 'low' END AS popularity FROM orders""")
