@@ -149,6 +149,10 @@ def test_mix(spark):
     mixed = mixing.mixed_documents(frame(spark, rows))
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {d: r["times"] for d, r in got.items() if r["times"]}
     assert mixing.mix(frame(spark, [])).count() == 0
+    # a source whose rows share an id or have none still comes near its target
+    lumped = [(7 if k % 2 else None, f"w{k} " * rnd.randint(1, 40), "a") for k in range(600)] + [(1000 + k, "w " * rnd.randint(1, 40), "b") for k in range(600)]
+    found = mixing.mix(frame(spark, lumped)).filter("doc_id IS NULL OR doc_id = 7").selectExpr("sum(taken) AS taken", "max(target) AS target").first()
+    assert abs(found["taken"] - found["target"]) <= 41
 
 
 def test_planes_round_trip():

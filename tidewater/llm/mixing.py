@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a 60-bit hash. Sizes are summed by source and the leading bits; running totals over
+Every document has a 60-bit hash of its id and text. Sizes are summed by source and the leading bits; running totals over
 those buckets show in which bucket each source's budget is reached; only the rows of that bucket are
 summed again by the next bits, and so on down to single hash values. The mix is then the filter
 "hash below the source's threshold": no sort, and reruns agree. A budget grown later only adds documents.
@@ -25,9 +25,10 @@ def n_words(text: str | Column = "text") -> Column:
     return F.regexp_count(whole_text(text), F.lit(SIZE)).cast("long")
 
 
-def doc_hash(id_col: str) -> Column:
-    """The first 60 bits of the md5 of the id's decimal text (null: of the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+def doc_hash(id_col: str, text: str) -> Column:
+    """The first 60 bits of the md5 of the id's decimal text, a colon and the text (nulls: empty)."""
+    whole = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), whole_text(text))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -106,8 +107,9 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     counted), hash and threshold.
 
     Null texts have size 0; null sources are one source, last in order; a source of size 0 has target 0.
-    Rows with equal ids have one hash and are taken together. Other columns are ignored."""
-    sizes = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), doc_hash(id_col).alias("hash")), "mix-sizes")
+    Rows equal in id and text have one hash and are taken together; those that share an id only, or have none,
+    are not. Other columns are ignored."""
+    sizes = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), doc_hash(id_col, text).alias("hash")), "mix-sizes")
     goals = stored(targets(sizes, share, most), "mix-goals")
     found = spread(thresholds(sizes, goals))
     times = F.col("g.copies") + (F.col("s.hash") < F.col("g.threshold")).cast("int")
@@ -119,10 +121,10 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
 def mixed_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as ``mix`` takes them. Only the narrow (source, hash,
     size) table is summed; the documents are read once more and filtered in place."""
-    sizes = stored(docs.select(F.col(source).alias("source"), n_words(text).alias("size"), doc_hash(id_col).alias("hash")), "mix-sizes")
+    sizes = stored(docs.select(F.col(source).alias("source"), n_words(text).alias("size"), doc_hash(id_col, text).alias("hash")), "mix-sizes")
     names = {"source": "__mix_source", "copies": "__mix_copies", "threshold": "__mix_threshold"}
     found = thresholds(sizes, stored(targets(sizes, share, most), "mix-goals")).select(*[F.col(c).alias(n) for c, n in names.items()])
-    times = F.col("__mix_copies") + (doc_hash(id_col) < F.col("__mix_threshold")).cast("int")
+    times = F.col("__mix_copies") + (doc_hash(id_col, text) < F.col("__mix_threshold")).cast("int")
     met = docs.join(spread(found), F.col(source).eqNullSafe(F.col("__mix_source")))
     return met.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
 
@@ -138,7 +140,7 @@ ORACLE_SQL = {
     "op7_source_mix": r"""
 WITH RECURSIVE s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS hash FROM documents
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS hash FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight
