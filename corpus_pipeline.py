@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source to its target: documents below its threshold once more than the others, repeats
-    as repeated rows; rows that share an id, or have none, are taken together."""
+    as repeated rows; rows equal in id and text are taken together."""
     return mixing.mixed_documents(docs).select(*docs.columns)
 
 
