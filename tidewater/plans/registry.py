@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["relational", "series", "profiles", "features", "models", "records"]
+MODULES = ["relational", "series", "profiles", "features", "models", "records", "flights"]
 
 
 def query(sql: str | None = None, name: str | None = None):
