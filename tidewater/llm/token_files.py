@@ -9,7 +9,6 @@ chunk index says for each block where its ids start, and a document index how ma
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.cached_ids import word_ids
 from tidewater.llm.common import documents, in_parts, shared_dir, small_enough, whole_text
 from tidewater.llm.shingles import contents
 
 BLOCK_IDS = 65536
 END_ID = 0
-CACHE_WORDS, CACHE_BYTES = 250_000, 24_000_000  # of a generation of a worker's cache: words, and bytes of words and ids
 GROUP_BYTES = 1 << 18  # of texts encoded together
 MAX_BROADCAST_SHARDS = 100_000
 
@@ -65,88 +64,6 @@ def from_planes(planes: list[bytes], n: int, unit: str = "bit") -> np.ndarray:
     return ids
 
 
-class WordIds:
-    """Ids of texts, by the tokenizer's own pre-tokens: each distinct one is encoded once and kept in a
-    cache of two generations, bounded by words and bytes, so frequent ones stay. Exact for byte-level models,
-    which never merge across pre-tokens; any other model is given the whole texts."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer = Tokenizer.from_file(path)
-        pre = self.tokenizer.pre_tokenizer
-        self.by_word = isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None
-        if self.by_word:
-            import regex
-
-            # Fixed value: the public split pattern of byte-level models; its parts exclude each other but
-            # for the last, so words come first for speed
-            pattern = " ?{L}+| ?{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-            self.split = regex.compile(re.sub(r"\{(.)\}", lambda m: r"\s" if m[1] == "S" else rf"\p{{{m[1]}}}", pattern)).findall
-            # the same over Latin-1 alone, where the plain engine is twice as fast
-            latin = "".join(map(chr, range(256)))
-            self.kinds = {k: "".join(map(re.escape, regex.findall(p, latin))) for k, p in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s"))}
-            narrow = pattern.replace("{L}+|", "[{L}]+|").replace("{N}+|", "[{N}]+|")
-            self.split_latin = re.compile(re.sub(r"\{(.)\}", lambda m: self.kinds[m[1]], narrow)).findall
-            self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.split(text)
-        return self.split_latin(text)
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are in no cache: those of a blank and letters all as one text, which splits at
-        the blanks into just these words; others one by one."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
-        if len(spaced) > 1:
-            e = self.tokenizer.encode("".join(spaced), add_special_tokens=False)
-            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            cuts = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
-            if len(cuts) == len(spaced) + 1:
-                data, edges = ids.tobytes(), (4 * cuts).tolist()
-                self.new.update(zip(spaced, (data[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
-                words = [w for w in words if w not in self.new]
-        if words:
-            self.new.update(zip(words, self.whole(words), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers. All unseen words of the texts are encoded
-        together, so give some at a time."""
-        if not self.by_word:
-            return self.whole(texts)
-        split = [None if any(x in t for x in self.special) else self.words(t) for t in texts]
-        words = set().union(*filter(None, split))
-        if len(self.new) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.new, self.old, self.held = {}, self.new, 0
-        missing = words.difference(self.new)
-        if missing:
-            self.new.update({w: self.old[w] for w in missing if w in self.old})
-            self.learn([w for w in missing if w not in self.old])
-            self.held += sum(map(len, missing)) + sum(len(self.new[w]) for w in missing)
-        known = self.new.__getitem__
-        return [self.whole([t])[0] if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
-
-
-_loaded: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """The tokenizer of this Python worker: loaded once, its cache kept from task to task."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text", id_col: str = "doc_id", unit: str = "bit", end_id: int = END_ID, level: int = 3) -> None:
     """Write ``docs`` as token files under ``path`` (a folder that all executors reach), ordered by id;
     equal ids are ordered by their texts' hashes, null ids come first. Null texts are empty: their only id is the end id.
