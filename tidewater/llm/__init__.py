@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tidewater.llm import contamination, language, licenses, media, mixing, ngram_join, pii, secrets, token_files, toxicity
+    from tidewater.llm import contamination, language, licenses, media, mixing, ngram_join, packing, pii, secrets, spelling, token_alignment, token_files, toxicity
 
-    return (licenses, contamination, secrets, toxicity, token_files, media, mixing, ngram_join, pii, language)
+    return (licenses, contamination, secrets, toxicity, token_files, media, mixing, ngram_join, pii, language, token_alignment, spelling, packing)
 
 
 def queries() -> dict:
