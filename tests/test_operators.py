@@ -149,7 +149,9 @@ def test_exact_ranks(spark, monkeypatch, seed):
     assert ranks.values_at(df.limit(0), "x", shares=[0.5]) == {} and clean.within_iqr(df.limit(0), "x").count() == 0
 
 
-def test_windows_cut_at_buckets(spark):
+@pytest.mark.parametrize("small_bytes", [0, 64 << 20])
+def test_windows_cut_at_buckets(spark, monkeypatch, small_bytes):
+    monkeypatch.setattr(windows, "SMALL_BYTES", small_bytes)
     rnd = random.Random(9)
     rows = [(k, rnd.choice([1, 1, 1, 2, None]), rnd.choice([None, *range(0, 3000, 7)]), rnd.choice([None, float(rnd.randrange(9))])) for k in range(300)]
     df = spark.createDataFrame(rows, "id int, k int, s long, v double")
@@ -160,10 +162,54 @@ def test_windows_cut_at_buckets(spark):
     # as-of over spans of a week against brute force, with keys and times that are null
     week = 7 * 86_400
     obs = [(rnd.choice([1, 2, None]), rnd.choice([None, *range(0, 9 * week, week // 3)]), n) for n in range(12)]
-    facts = [(n, rnd.choice([1, 2, 3, None]), rnd.randrange(9 * week)) for n in range(60)]
+    facts = [(n, rnd.choice([1, 2, 3, None]), rnd.choice([None, *[rnd.randrange(9 * week)] * 5])) for n in range(60)]
     got = joins.as_of(spark.createDataFrame(facts, "id int, k int, t long"), spark.createDataFrame(obs, "k int, t long, n int"), "k", "t", "k", "t", ["n"])
-    want = {i: max(((t if t is not None else -1, n) for j, t, n in obs if k is not None and j == k and (t is None or t <= at)), default=None) for i, k, at in facts}
-    assert {r["id"]: r["as_of"] and (-1 if r["as_of"]["time"] is None else r["as_of"]["time"], r["as_of"]["n"]) for r in got.collect()} == want
+    want = {i: max(((t, n) for j, t, n in obs if None not in (k, at, t) and j == k and t <= at), default=None) for i, k, at in facts}
+    assert {r["id"]: r["as_of"] and tuple(r["as_of"]) for r in got.collect()} == want
+
+
+def test_as_of_without_an_observations_time(spark):
+    facts = spark.createDataFrame([(1, 1, 10), (2, 1, None), (3, None, 10)], "id int, k int, t long")
+    obs = spark.createDataFrame([(1, None, 5), (None, 3, 6)], "k int, t long, v int")
+    assert [(r["id"], r["as_of"]) for r in joins.as_of(facts, obs, "k", "t", "k", "t", ["v"]).orderBy("id").collect()] == [(1, None), (2, None), (3, None)]
+
+
+@pytest.mark.parametrize("keys", [[1], [1, 2, 3, None]])
+def test_joins_over_time_against_pairs(spark, keys):
+    """Nearest within an interval, range statistics and hour lists, against every pair; one key with all rows too,
+    equal times, times at the ends of spans, nulls in keys, times and values, and rows that are equal."""
+    rnd = random.Random(len(keys))
+    week = 7 * 86_400
+    times = [None, *[w * week + d for w in (1, 2) for d in (-1801, -1800, -1, 0, 1, 1799, 1800, 5000, 9000)], *range(0, 40_000, 700)]
+    facts = [(n // 2, rnd.choice(keys), rnd.choice(times), rnd.choice([None, float(rnd.randrange(50))])) for n in range(150)]
+    obs = [(rnd.choice(keys), rnd.choice(times), rnd.randrange(40), rnd.randrange(9)) for n in range(120)]
+    f = spark.createDataFrame(facts, "id int, k int, s long, v double").withColumn("t", F.timestamp_seconds("s"))
+    o = spark.createDataFrame(obs, "k int, s long, n int, x int").withColumn("t", F.timestamp_seconds("s"))
+    text = lambda x: sorted(map(str, x))
+    same = lambda a, b: None not in (*a, *b) and a[0] == b[0]
+
+    got = joins.within_interval(f, o, "k", "t", "id", "k", "t", "n", 30, ["x"]).select("id", "k", "s", "v", "near_distance", "near_id", "x")
+    want = [(i, k, s, v, *min(((abs(s - u), n, x) for j, u, n, x in obs if same((k, s), (j, u)) and abs(s - u) <= 1800), default=(None,) * 3)) for i, k, s, v in facts]
+    assert text(map(tuple, got.collect())) == text(want)
+
+    got = joins.range_statistics(f, "k", "s", "v", "id", 700, 5600).select("id", "k", "s", "v", "range_n", F.round("range_avg", 6))
+    want = []
+    for i, k, s, v in facts:
+        inside = [w for _, j, u, w in facts if same((k, s), (j, u)) and s - 5600 <= u <= s - 700]
+        full = [w for w in inside if w is not None]
+        want.append((i, k, s, v, len(inside), round(sum(full) / len(full), 6) if full else None))
+    assert text(map(tuple, got.collect())) == text(want)
+
+    got = joins.day_lists(f, o, "k", "t", "k", "t", ["n"], 3).select("id", "k", "s", "observations")
+    want = [(i, k, s, sorted((u // 3600, n) for j, u, n, _ in obs if same((k, s), (j, u)) and s // 3600 - 3 <= u // 3600 <= s // 3600) or None) for i, k, s, _ in facts]
+    assert text((r["id"], r["k"], r["s"], r["observations"] and [tuple(x) for x in r["observations"]]) for r in got.collect()) == text(want)
+
+
+def test_no_pairs_in_the_plans(spark):
+    f = spark.range(10).selectExpr("id", "1 AS k", "id AS s", "1.0D AS v", "timestamp_seconds(id) AS t")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(joins.range_statistics(f, "k", "s", "v", "id", 1, 5))
+    assert "Join" not in plan(joins.within_interval(f, f.withColumnRenamed("id", "n"), "k", "t", "id", "k", "t", "n"))
 
 
 def test_nearest_and_coverage(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.clock import parse_date
-from tidewater.operators.windows import bucket_of, with_edges
+from tidewater.operators.windows import SPAN, bucket_of, with_edges
 
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 500_000, 64 << 20
 
@@ -138,25 +138,47 @@ def nearest_to_hours(observations: DataFrame, key: str, time: str, tie: str) ->
 
 
 def range_statistics(facts: DataFrame, key: str, seconds: str, value: str, row_id: str, low: int, high: int, names: str = "range") -> DataFrame:
-    """JOIN-10: count and mean of the same key's rows ``low`` to ``high`` seconds before each row, by a
-    bucketed self-join: rows meet within the buckets that the range touches, not over the whole key."""
-    width = high - low
-    right = facts.select(F.col(key).alias("_k"), F.col(seconds).alias("_s"), F.col(value).alias("_v"), F.floor(F.col(seconds) / width).alias("_b"))
-    at = F.col(seconds)
-    left = facts.withColumn("_b", F.explode(F.sequence(F.floor((at - high) / width), F.floor((at - low) / width))))
-    met = left.join(right, (left[key] == right["_k"]) & (left["_b"] == right["_b"]) & right["_s"].between(at - high, at - low)).groupBy(left[row_id].alias("_id")).agg(F.count("*").alias(f"{names}_n"), F.avg("_v").alias(f"{names}_avg"))
-    return facts.join(met, facts[row_id] == met["_id"], "left").drop("_id").fillna({f"{names}_n": 0})
+    """JOIN-10: count and mean of the same key's rows ``low`` to ``high`` seconds before each row (0 and null
+    without any; null values count as rows). Rows without a key or time have none, and are in nobody's range.
+
+    The range's sums are the difference of two running sums: those up to ``low`` seconds before and those
+    before ``high`` seconds before. Both are read off one sorted pass over rows and readings, so a hot key
+    costs no pairs. A key's history is cut into spans; a span's last ``high`` seconds are given to the next
+    one too, so that sums stay short and a key is many tasks."""
+    at, width = F.col(seconds), max(SPAN, 8 * high)
+    known = F.col(key).isNotNull() & at.isNotNull()
+    own = F.floor(at / width)
+    spans = F.explode(F.when(at - own * width >= width - high, F.array(own, own + 1)).otherwise(F.array(own)))
+    rows = facts.filter(known).select(F.col(key).alias("_k"), spans.alias("_bucket"), at.cast("long").alias("_at"), F.lit(1).alias("_order"), F.col(value).cast("double").alias("_v"))
+    row = F.struct(*[F.col(f"`{c}`") for c in facts.columns])
+    # a reading of order 0 comes before rows of its own time, one of order 2 after them
+    readings = F.explode(F.array(*[F.struct((at - s).cast("long").alias("at"), F.lit(o).alias("order")) for s, o in ((high, 0), (low, 2))]))
+    read = facts.filter(known).withColumn("_n", F.monotonically_increasing_id()).select(F.col(key).alias("_k"), own.alias("_bucket"), row.alias("_f"), "_n", readings.alias("_r"))
+    both = rows.unionByName(read.select("_k", "_bucket", F.col("_r.at").alias("_at"), F.col("_r.order").alias("_order"), "_f", "_n"), allowMissingColumns=True)
+    w = Window.partitionBy("_k", "_bucket").orderBy("_at", "_order").rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.col("_order") - 1
+    is_row = F.col("_order") == 1
+    found = both.select("_k", "_bucket", "_f", "_n", "_order", F.count(F.when(is_row, 1)).over(w).alias("_c"), F.count("_v").over(w).alias("_cv"), F.sum("_v").over(w).alias("_s")).filter(~is_row)
+    # both readings of a row are in one task already
+    met = found.groupBy("_k", "_bucket", "_n").agg(F.first("_f").alias("_f"), F.sum(sign * F.col("_c")).alias("_c"), F.sum(sign * F.col("_cv")).alias("_cv"), F.sum(sign * F.coalesce("_s", F.lit(0.0))).alias("_s"))
+    made = met.select("_f.*", F.col("_c").cast("long").alias(f"{names}_n"), F.when(F.col("_cv") > 0, F.col("_s") / F.col("_cv")).alias(f"{names}_avg"))
+    return made.unionByName(facts.filter(~known).withColumns({f"{names}_n": F.lit(0).cast("long"), f"{names}_avg": F.lit(None).cast("double")}))
 
 
 def day_lists(facts: DataFrame, observations: DataFrame, fact_key: str, fact_time: str, obs_key: str, obs_time: str, fields: list[str], back: int = 12) -> DataFrame:
-    """JOIN-11: facts left-joined to the day's and the day before's list of observations, kept to those of
-    the ``back`` hours before and the hour itself, oldest first."""
-    day = F.to_date(obs_time)
-    lists = observations.select(F.col(obs_key).alias("_k"), F.explode(F.array(day, F.date_add(day, 1))).alias("_d"), F.floor(F.unix_timestamp(obs_time) / 3600).alias("hour"), *fields)
-    lists = lists.groupBy("_k", "_d").agg(F.array_sort(F.collect_list(F.struct("hour", *fields))).alias("observations"))
-    h = F.floor(F.unix_timestamp(fact_time) / 3600)
-    joined = facts.join(lists, (F.col(fact_key) == F.col("_k")) & (F.to_date(fact_time) == F.col("_d")), "left")
-    return joined.withColumn("observations", F.filter("observations", lambda o: o["hour"].between(h - back, h))).drop("_k", "_d")
+    """JOIN-11: facts left-joined to the list of observations of the ``back`` hours before and the hour itself,
+    oldest first; null where there are none.
+
+    Observations are gathered by key and hour, each once. The hours that facts need are looked up by key and
+    hour, once for all facts of one hour, and their lists are joined up; no list of a day is made."""
+    hour = lambda c: F.floor(F.unix_timestamp(c) / 3600)
+    lists = observations.select(F.col(obs_key).alias("_k"), hour(obs_time).alias("hour"), *fields).filter("_k IS NOT NULL AND hour IS NOT NULL")
+    lists = lists.groupBy("_k", F.col("hour").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("hour", *fields))).alias("_l"))
+    wanted = facts.select(F.col(fact_key).alias("_k"), hour(fact_time).alias("_at")).filter("_k IS NOT NULL AND _at IS NOT NULL").distinct()
+    wanted = wanted.withColumn("_h", F.explode(F.sequence(F.col("_at") - back, F.col("_at"))))
+    met = wanted.join(lists, ["_k", "_h"]).groupBy("_k", "_at").agg(F.array_sort(F.collect_list(F.struct("_h", "_l"))).alias("_hours"))
+    met = met.select("_k", "_at", F.flatten(F.col("_hours._l")).alias("observations"))
+    return facts.join(met, (F.col(fact_key) == F.col("_k")) & (hour(fact_time) == F.col("_at")), "left").drop("_k", "_at")
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: dict[str, str], left_date: str, right_date: str) -> DataFrame:
@@ -177,30 +199,51 @@ def join_buckets(facts: DataFrame, statistics: DataFrame, key: str, bucket: str)
 
 def as_of(facts: DataFrame, observations: DataFrame, key: str, time: str, obs_key: str, obs_time: str, fields: list[str], name: str = "as_of") -> DataFrame:
     """JOIN-15: each fact with the last observation at or before it, as a struct with its time; null if
-    there is none. One sort over the union of both sides, no range join; a tie takes the greatest. A key's
-    history is cut into spans, each of which gets the last observation before it."""
+    there is none. Observations without a key or time are nobody's; facts without either have none. One sort
+    over the union of both sides, no range join; a tie takes the greatest. A long history of a key is cut into
+    spans, each of which gets the last observation before it."""
     lead = [F.col(obs_time).alias("time"), *[F.col(f) for f in fields]]
     kind = observations.select(F.struct(*lead).alias("s")).schema["s"].dataType
-    row = F.struct(*facts.columns)
-    a = facts.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(1).alias("_late"), row.alias("_f"), F.lit(None).cast(kind).alias("_o"))
-    b = observations.select(F.col(obs_key).alias("_k"), F.col(obs_time).alias("_t"), F.lit(0).alias("_late"), F.lit(None).cast(facts.select(row.alias("f")).schema["f"].dataType).alias("_f"), F.struct(*lead).alias("_o"))
+    row = F.struct(*[F.col(f"`{c}`") for c in facts.columns])
+    known = F.col(key).isNotNull() & F.col(time).isNotNull()
+    a = facts.filter(known).select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(1).alias("_late"), row.alias("_f"), F.lit(None).cast(kind).alias("_o"))
+    b = observations.filter(F.col(obs_key).isNotNull() & F.col(obs_time).isNotNull())
+    b = b.select(F.col(obs_key).alias("_k"), F.col(obs_time).alias("_t"), F.lit(0).alias("_late"), F.lit(None).cast(a.schema["_f"].dataType).alias("_f"), F.struct(*lead).alias("_o"))
     both = a.unionByName(b)
     both = with_edges(both, ["_k"], bucket_of(both, "_t"), before={"_o": F.max("_o")})
     w = Window.partitionBy("_k", "_bucket").orderBy("_place", "_t", "_late", "_o").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_last", F.last("_o", ignorenulls=True).over(w))
-    return both.filter("_place = 0 AND _late = 1").select("_f.*", F.when(F.col("_k").isNotNull(), F.col("_last")).alias(name))
+    met = both.filter("_place = 0 AND _late = 1").select("_f.*", F.col("_last").alias(name))
+    return met.unionByName(facts.filter(~known).withColumn(name, F.lit(None).cast(kind)))
 
 
 def within_interval(facts: DataFrame, observations: DataFrame, key: str, time: str, row_id: str, obs_key: str, obs_time: str, tie: str, minutes: int = 30, fields: list[str] | None = None) -> DataFrame:
-    """JOIN-16: each fact with the observation nearest to it within ``minutes`` either way, left; ties go
-    to the smaller ``tie``. Buckets of that width make it an equi-join with neighbours."""
-    width = minutes * 60
-    f = facts.select(F.col(row_id).alias("_id"), F.col(key).alias("_k"), F.unix_timestamp(time).alias("_s"))
-    f = f.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / width) - 1, F.floor(F.col("_s") / width) + 1)))
-    o = observations.select(F.col(obs_key).alias("_k"), F.unix_timestamp(obs_time).alias("_os"), F.col(tie).alias("near_id"), *(fields or [])).withColumn("_b", F.floor(F.col("_os") / width))
-    distance = F.abs(F.col("_s") - F.col("_os"))
-    met = f.join(o, ["_k", "_b"]).filter(distance <= width).groupBy("_id").agg(F.min(F.struct(distance.alias("near_distance"), "near_id", *(fields or []))).alias("_n"))
-    return facts.join(met, facts[row_id] == met["_id"], "left").select(*facts.columns, "_n.*")
+    """JOIN-16: each fact with the observation nearest to it within ``minutes`` either way, left (times in whole
+    seconds); ties go to the smaller ``tie``. Facts or observations without a key or time match nothing.
+
+    Of a key's observations only the last at or before a fact and the first after it can be nearest, so one
+    pass over the union of both sides in time order finds the one, and one in reverse order the other: no fact
+    meets more than two observations, however many a key has. A key's history is cut into spans; observations
+    near a span's ends are given to the neighbouring span too."""
+    near, width = minutes * 60, max(SPAN, 8 * minutes * 60)
+    some = [F.col(f) for f in fields or []]
+    known = F.col(key).isNotNull() & F.col(time).isNotNull()
+    row = F.struct(*[F.col(f"`{c}`") for c in facts.columns])
+    at = F.unix_timestamp(time)
+    f = facts.filter(known).select(F.col(key).alias("_k"), at.alias("_s"), F.floor(at / width).alias("_bucket"), F.lit(1).alias("_late"), row.alias("_f"))
+    o = observations.filter(F.col(obs_key).isNotNull() & F.col(obs_time).isNotNull()).groupBy(F.col(obs_key).alias("_k"), F.unix_timestamp(obs_time).alias("_s")).agg(F.min(F.struct(F.col(tie).alias("near_id"), *some)).alias("_v"))
+    own = F.floor(F.col("_s") / width)
+    past = F.col("_s") - own * width
+    spans = F.concat(F.array(own), F.when(past < near, F.array(own - 1)).otherwise(F.array().cast("array<bigint>")), F.when(past >= width - near, F.array(own + 1)).otherwise(F.array().cast("array<bigint>")))
+    o = o.select("_k", "_s", F.explode(spans).alias("_bucket"), F.lit(0).alias("_late"), F.struct(F.col("_s").alias("s"), "_v").alias("_o"))
+    both = f.unionByName(o, allowMissingColumns=True)
+    seen = lambda *order: F.last("_o", ignorenulls=True).over(Window.partitionBy("_k", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"_before": seen("_s", "_late"), "_after": seen(F.desc("_s"), "_late")}).filter("_late = 1")
+    distance = lambda o: F.abs(F.col("_s") - F.col(o)["s"])
+    option = lambda o: F.when(distance(o) <= near, F.struct(distance(o).alias("near_distance"), *[F.col(o)["_v"][c].alias(c) for c in ["near_id", *(fields or [])]]))
+    made = both.withColumn("_n", F.array_min(F.array_compact(F.array(option("_before"), option("_after"))))).select("_f.*", "_n.*")
+    kinds = {c.name: c.dataType for c in made.schema.fields[len(facts.columns) :]}
+    return made.unionByName(facts.filter(~known).withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()}))
 
 
 def interpolate_hours(observations: DataFrame, key: str, time: str, value: str) -> DataFrame:

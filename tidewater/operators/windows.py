@@ -13,6 +13,12 @@ from tidewater.functions.flags import at_least, buckets, flag
 
 
 SPAN = 7 * 86_400  # seconds of a bucket
+SMALL_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's own estimate of a table's size, which for a plan of joins is far above it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bucket_of(df: DataFrame, time: str, seconds: int = SPAN) -> Column:
@@ -25,7 +31,10 @@ def with_edges(df: DataFrame, by: list[str], bucket: Column, before: dict[str, C
     """``df`` with ``_bucket`` and ``_place`` 0, and for each key and bucket a row of place -1 with the columns
     ``before`` and one of place 1 with ``after``: each aggregate's last value in the key's earlier buckets, or
     first in its later ones, that is not null. The aggregates combine before their shuffle, and the windows
-    here hold a row a bucket."""
+    here hold a row a bucket. A table that the planner puts below ``SMALL_BYTES`` has no long history, so its
+    keys stay whole: one bucket, no edges, the same results."""
+    if estimated_bytes(df) <= SMALL_BYTES:
+        return df.withColumns({"_bucket": F.lit(0).cast("long"), "_place": F.lit(0)})
     df = df.withColumns({"_bucket": bucket, "_place": F.lit(0)})
     out = df
     for place, found, order in ((-1, before, F.asc("_bucket")), (1, after, F.desc("_bucket"))):

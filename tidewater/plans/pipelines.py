@@ -14,6 +14,8 @@ from tidewater.ml.features import Extractor, FeatureSpec, extract
 from tidewater.operators import clean, joins, sampling, windows
 from tidewater.sources import write_table
 
+WEEK_HOURS = 168
+
 #: Columns known only after a flight.
 SOURCES = ["ARR_DELAY_NEW", "WEATHER_DELAY", "NAS_DELAY"]
 FORBIDDEN = ["FL_DATE", "UTC_FL_DATE", "OP_CARRIER_FL_NUM", "unique_id", "flight_timestamp"]
@@ -80,7 +82,7 @@ def preprocess_weather(weather: DataFrame, airports: DataFrame | None = None, fl
         | {"temp_dewpoint_spread": codes.spread("DryBulbCelsius", "DewPointCelsius")})
     w = clean.with_columns(w, codes.weather_type_features("WeatherType") | codes.icing_features("WeatherType", "DryBulbCelsius", "DewPointCelsius") | codes.pressure_features("PressureTendency", "PressureChange"))
     w = clean.with_columns(w, {"HourlyPrecip": clean.precipitation("HourlyPrecip"), "SeaLevelPressure": clean.marked_missing("SeaLevelPressure")})
-    return windows.deltas(w, ["DryBulbCelsius", "RelativeHumidity", "visibility_miles", "StationPressure"], ["WBAN"], ["hour_number"])
+    return windows.deltas(w, ["DryBulbCelsius", "RelativeHumidity", "visibility_miles", "StationPressure"], ["WBAN"], ["hour_number"], bucket=F.floor(F.col("hour_number") / WEEK_HOURS))
 
 
 def data_pipeline(flights: DataFrame, weather: DataFrame, airports: DataFrame, experiments: list[Experiment], out: str | None = None) -> tuple[DataFrame, DataFrame]:
