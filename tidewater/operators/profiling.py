@@ -31,9 +31,61 @@ def class_balance(df: DataFrame, flag: str) -> DataFrame:
     return df.agg(t.alias("total"), y.alias("flagged"), (t - y).alias("others"), F.round(y * 100.0 / t, 2).alias("pct"), F.round((t - y) / F.nullif(y, F.lit(0)), 2).alias("ratio"))
 
 
-def distinct_by(df: DataFrame, by: list[str], c: str, name: str = "n_distinct") -> DataFrame:
-    """AGG-05: distinct values per group, most first."""
-    return df.groupBy(*by).agg(F.countDistinct(c).alias(name)).orderBy(F.desc(name), *by)
+SKETCH_BITS = 12
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """The relative standard error of a distinct count by a sketch of 2^bits registers."""
+    return 1.04 / (1 << bits) ** 0.5
+
+
+def _hashable(df: DataFrame, c: str) -> Column:
+    v = F.col(f"`{c}`")
+    return v if isinstance(df.schema[c].dataType, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else v.cast("string")
+
+
+def distinct_sketches(df: DataFrame, columns: list[str], by: list[str] | None = None, bits: int = SKETCH_BITS) -> DataFrame:
+    """A row per group of ``by`` (such as a day or a partition) with its row count ``n`` and, for each column, how many
+    values are full and a sketch of them, to be stored. Sketches merge, so what is kept per partition answers for any
+    union of partitions, and a new one is all that is read again."""
+    made = [a for i, c in enumerate(columns) for a in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.hll_sketch_agg(_hashable(df, c), F.lit(bits)).alias(f"s{i}"))]
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("n"), *made)
+
+
+def distinct_from(sketches: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, column, n, n_full, n_distinct) from stored sketches of these columns, merged by group: within
+    ``sketch_error`` of the true count, as a standard error."""
+    made = [a for i in range(len(columns)) for a in (F.sum(f"n{i}").alias(f"n{i}"), F.hll_sketch_estimate(F.hll_union_agg(f"s{i}")).alias(f"d{i}"))]
+    met = sketches.groupBy(*(by or [])).agg(F.sum("n").alias("n"), *made)
+    rows = [F.struct(F.lit(c).alias("column"), F.col("n"), F.col(f"n{i}").alias("n_full"), F.coalesce(F.col(f"d{i}"), F.lit(0)).alias("n_distinct")) for i, c in enumerate(columns)]
+    return met.select(*(by or []), F.explode(F.array(*rows)).alias("r")).select(*(by or []), "r.*").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("n", "n_full")})
+
+
+def distinct_exact(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, column, n, n_full, n_distinct), exact: rows become (column, value) pairs, which are first counted by pair,
+    before and after one shuffle, and then by column. Equal values meet before the shuffle; no column's values are held in one
+    task, and no row is multiplied in an aggregate of many distinct counts."""
+    some = [F.col(f"`{c}`") for c in by or []]
+
+    def text(c: str) -> Column:
+        v, t = F.col(f"`{c}`"), df.schema[c].dataType
+        if isinstance(t, T.BinaryType):
+            return F.hex(v)
+        return (v + F.lit(0.0) if isinstance(t, (T.DoubleType, T.FloatType)) else v).cast("string")  # -0.0 is 0.0
+
+    place = [F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(columns)]
+    pairs = df.select(*some, F.explode(F.array(*place)).alias("x")).groupBy(*some, "x.i", "x.v").agg(F.count("*").alias("k"))
+    per = pairs.groupBy(*some, "i").agg(F.sum("k").alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("k"))), F.lit(0)).alias("n_full"), F.count("v").alias("n_distinct"))
+    return per.select(*some, F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1).alias("column"), "n", "n_full", "n_distinct")
+
+
+def distinct_by(df: DataFrame, by: list[str], c: str, name: str = "n_distinct", approximate: bool = False) -> DataFrame:
+    """AGG-05: distinct values per group, most first; ``approximate`` counts by sketches (``sketch_error``)."""
+    if approximate:
+        found = distinct_from(distinct_sketches(df, [c], by), [c], by).select(*by, F.col("n_distinct").alias(name))
+    else:
+        found = df.groupBy(*by, c).agg(F.lit(1).alias("_one")).groupBy(*by).agg(F.count(c).alias(name))
+    return found.orderBy(F.desc(name), *by)
 
 
 def frequencies(df: DataFrame, c: str) -> DataFrame:
@@ -49,14 +101,15 @@ def smoothed_rates(df: DataFrame, by: str, flag: str) -> DataFrame:
 
 def column_metadata(df: DataFrame, overrides: dict[str, str] | None = None, approximate: bool = False) -> DataFrame:
     """AGG-08, AGG-09: per column its kind (or the one that overrides it), completeness and distinct count.
-    ``approximate`` counts distinct values by sketches, for wide tables at scale."""
-    distinct = F.approx_count_distinct if approximate else F.countDistinct
-    aggs = [a for i, c in enumerate(df.columns) for a in (F.count(F.col(f"`{c}`")).alias(f"n{i}"), distinct(F.col(f"`{c}`")).alias(f"d{i}"))]
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(kind_of(df.schema[c].dataType)).alias("kind"), (F.col(f"n{i}") / F.nullif(F.col("total"), F.lit(0))).alias("completeness"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(df.columns)]
-    out = df.agg(F.count("*").alias("total"), *aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    for c, kind in (overrides or {}).items():
-        out = out.withColumn("kind", F.when(F.col("column") == c, kind).otherwise(F.col("kind")))
-    return out
+    ``approximate`` counts distinct values by sketches, for wide tables at scale (``sketch_error``). An empty table
+    has no completeness (null) and nothing distinct."""
+    columns = df.columns
+    found = distinct_from(distinct_sketches(df, columns), columns) if approximate else distinct_exact(df, columns)
+    kinds = {c: kind_of(df.schema[c].dataType) for c in columns} | {c: k for c, k in (overrides or {}).items() if c in columns}
+    # as many rows as columns, which the exact way has none of for an empty table
+    named = df.sparkSession.createDataFrame(list(kinds.items()), "column string, kind string")
+    met = named.join(found, "column", "left")
+    return met.select("column", "kind", (F.col("n_full") / F.nullif(F.col("n"), F.lit(0))).alias("completeness"), F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"))
 
 
 def _one_per_column(df: DataFrame, measures: dict[str, dict[str, Column]], extra: dict[str, dict[str, str]] | None = None) -> DataFrame:
@@ -124,6 +177,31 @@ def quantiles(df: DataFrame, c: str, probabilities: list[float], relative_error:
     return found.select(F.posexplode("q").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, probabilities)), F.col("i") + 1).alias("p"), "value")
 
 
+def quantile_ranks(df: DataFrame, c: str, found: DataFrame, relative_error: float = 1e-3) -> DataFrame:
+    """AGG-15: a proof of quantiles (p, value): how many full values there are (``n``), how many lie ``below`` each
+    quantile and how many at it or below (``upto``), and ``rank_error``: how far the rank p * n is outside of these, as
+    a share of n; ``within`` tells whether that is the stated error at most. One scan, whatever the number of
+    quantiles, which come to the driver; values are counted by the two quantiles they lie between."""
+    cuts = found.select("p", "value").orderBy("value", "p").collect()
+    values = sorted({r["value"] for r in cuts})
+    spark = df.sparkSession
+    if not values:
+        return spark.createDataFrame([], "p double, value double, n long, below long, upto long, rank_error double, within boolean")
+    v = F.col(c)
+    bounds = F.array(*map(F.lit, values))
+    # 2 j: strictly between the bounds j - 1 and j; 2 j + 1: at the bound j
+    place = F.size(F.filter(bounds, lambda b: b < v)) + F.size(F.filter(bounds, lambda b: b <= v))
+    counts = {r["place"]: r["n"] for r in df.filter(v.isNotNull()).groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect()}
+    n, rows = sum(counts.values()), []
+    for r in cuts:
+        j = values.index(r["value"])
+        below = sum(k for at, k in counts.items() if at < 2 * j + 1)
+        upto = below + counts.get(2 * j + 1, 0)
+        error = max(0.0, below - r["p"] * n, r["p"] * n - upto) / n
+        rows.append((r["p"], float(r["value"]), n, below, upto, error, error <= relative_error))
+    return spark.createDataFrame(rows, "p double, value double, n long, below long, upto long, rank_error double, within boolean")
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """AGG-16: correlation of each pair of columns, in one scan."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
@@ -137,9 +215,10 @@ def consecutive_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).select((sum(F.col(f"c{i}") for i in range(len(pairs))) / len(pairs)).alias("mean_corr"))
 
 
-def cardinalities(df: DataFrame, columns: list[str], max_bins: int = 32) -> DataFrame:
+def cardinalities(df: DataFrame, columns: list[str], max_bins: int = 32, approximate: bool = False) -> DataFrame:
     """AGG-17: distinct values of categorical columns, and whether they overflow a tree's bins."""
-    return _one_per_column(df, {c: {"n_distinct": F.countDistinct(c)} for c in columns}).withColumn("overflows", F.col("n_distinct") > max_bins)
+    found = column_metadata(df.select(*[F.col(f"`{c}`") for c in columns]), approximate=approximate)
+    return found.select("column", "n_distinct").withColumn("overflows", F.col("n_distinct") > max_bins)
 
 
 def month_coverage(facts: DataFrame, date: str, other: DataFrame, other_date: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions.flags import flag
-from tidewater.operators import clean, profiling, schema
+from tidewater.operators import clean, profiling, ranks, schema
 from tidewater.plans.registry import query, rounded, table
 
 
@@ -84,10 +84,31 @@ def item_summary(spark, d):
     return x.withColumns({c: rounded(c, 4) for c in ("mean", "std", "q1", "median", "q3")})
 
 
-@query()
+@query("""WITH n AS (SELECT count(o_totalprice) AS n FROM orders), p AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS p),
+x AS (SELECT p, n, (SELECT quantile_disc(o_totalprice, 0.5) FROM orders) AS middle FROM p, n)
+SELECT p, n, true AS within, CAST(floor(p * 20) AS BIGINT) AS twentieth, CAST(CASE WHEN p = 0.5 THEN (SELECT count(*) FROM orders WHERE o_totalprice <= middle) ELSE 0 END AS BIGINT) AS upto_middle FROM x""")
 def price_quantiles(spark, d):
-    """AGG-15: approximate, so there is no exact twin."""
-    return profiling.quantiles(table(spark, d, "orders"), "o_totalprice", [0.25, 0.5, 0.75])
+    """AGG-15: quantiles whose ranks, counted again, are within the stated error; the exact median beside them."""
+    o = table(spark, d, "orders")
+    found = profiling.quantile_ranks(o, "o_totalprice", profiling.quantiles(o, "o_totalprice", [0.05, 0.25, 0.5, 0.75, 0.95]))
+    exact = o.sparkSession.createDataFrame([(0.5, ranks.values_at(o, "o_totalprice", ranks=[(o.count() - 1) // 2])[(o.count() - 1) // 2])], "p double, value double")
+    upto = profiling.quantile_ranks(o, "o_totalprice", exact).select("p", F.col("upto").alias("upto_middle"))
+    return found.join(upto, "p", "left").select("p", "n", "within", F.floor(F.col("p") * 20).alias("twentieth"), F.coalesce("upto_middle", F.lit(0)).alias("upto_middle"))
+
+
+SKETCHED = ["user_id", "event_type", "props"]
+
+
+@query(f"""WITH x AS ({" UNION ALL ".join(f"SELECT CAST(ts AS DATE) AS day, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM events" for c in SKETCHED)})
+SELECT c AS "column", count(*) AS n, count(v) AS n_full, true AS within FROM x GROUP BY 1""")
+def sketched_distincts(spark, d):
+    """AGG-05, AGG-08, AGG-17: distinct counts from sketches stored by day and merged, within four standard errors of
+    the exact counts, which are made by pairs of column and value."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    merged = profiling.distinct_from(profiling.distinct_sketches(e, SKETCHED, ["day"]), SKETCHED)
+    exact = profiling.distinct_exact(e, SKETCHED).select("column", F.col("n_distinct").alias("exact"))
+    error = F.abs(F.col("n_distinct") - F.col("exact")) / F.greatest(F.col("exact"), F.lit(1))
+    return merged.join(exact, "column").select("column", "n", "n_full", (error <= 4 * profiling.sketch_error()).alias("within"))
 
 
 PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
