@@ -35,16 +35,80 @@ def three_tables(spark):
     return flights, weather, airports
 
 
-def test_to_holdout_metrics(spark, three_tables):
+def test_to_holdout_metrics(spark, three_tables, tmp_path):
     e = pipelines.Experiment("x", {"dep_hour": "None", "distance_score": "StandardScaler", "route_id": "StringIndexer"}, ["visibility_miles", "ceiling"], {"ceiling": "min"}, origin_depth=2, dest_depth=1, params={"numTrees": 4, "maxDepth": 3}, grid={"maxDepth": [2, 3]}, folds=2)
     f, w = pipelines.data_pipeline(*three_tables, [e])
     assert {"unique_id", "utc_hour_number", "D2_60"} <= set(f.columns) and f.count() > 300
     train, test = pipelines.feature_pipeline(f, w, e)
     assert "origin_weather_visibility_miles_h2" in train.columns and "origin_weather_ceiling_Min" in train.columns and "D2_60" in train.columns
     assert {r["label_is_delayed"] for r in train.select("label_is_delayed").distinct().collect()} == {0, 1}
-    done = pipelines.ml_pipeline(train, test, e)
-    m = done.holdout.first()
-    assert m["tp"] + m["tn"] + m["fp"] + m["fn"] == test.count() and done.cv.count() == 2 and "maxDepth" in done.best
+    done = pipelines.ml_pipeline(train, test, e, str(tmp_path / "run"))
+    parts = {r["part"]: r for r in done.measures.collect()}
+    for part, df in (("train", train), ("test", test)):
+        m = parts[part]
+        assert m["tp"] + m["tn"] + m["fp"] + m["fn"] == df.count() and 0 <= m["auc_roc"] <= 1
+    assert done.candidates.count() == 4 and done.best["maxDepth"] in (2, 3) and done.best["numTrees"] == 4 and not done.artefacts.kept
+    want = training.areas(done.predictions.filter("part = 'test'").withColumn("rawPrediction", training.F.col("p1")))
+    assert parts["test"]["auc_roc"] == pytest.approx(want["auc_roc"], abs=0.01)
+
+    steps = set(done.artefacts.made)
+    again = pipelines.ml_pipeline(train.repartition(5), test, e, str(tmp_path / "run"))  # nothing is made twice, whatever the partitions
+    assert not again.artefacts.made and set(again.artefacts.kept) == steps
+    assert sorted(map(tuple, again.predictions.collect())) == sorted(map(tuple, done.predictions.collect()))
+
+    key, path = done.artefacts.place("predictions", "x")
+    broken = next(p for p in (tmp_path / "run").iterdir() if p.name.startswith("predictions-"))
+    (broken / "_DONE").unlink()  # broke off while it was written
+    assert set(pipelines.ml_pipeline(train, test, e, str(tmp_path / "run")).artefacts.made) == {"predictions"}
+    e.params = {**e.params, "numTrees": 3}  # only what depends on it
+    assert set(pipelines.ml_pipeline(train, test, e, str(tmp_path / "run")).artefacts.kept) == {"features", "points", "held-out-points"}
+    fast = pipelines.ml_pipeline(train, test, e, str(tmp_path / "run"), fast=True)
+    assert fast.candidates.count() == 0 and fast.cv.count() == 0 and fast.measures.count() == 2
+    e.reduce = "pca"
+    reduced = pipelines.ml_pipeline(train, test, e, str(tmp_path / "run"), fast=True)
+    assert "vectors" in reduced.artefacts.made and reduced.predictions.count() == train.count() + test.count()
+    reduced.artefacts.rest()
+    assert not (tmp_path / "run").exists()
+
+
+def test_models_refuse_other_schemas(spark, tmp_path):
+    df = spark.range(40).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 3 AS STRING) AS s", "id % 2 AS y")
+    model = features.feature_stages(df, features.FeatureSpec({"x": "None", "s": "StringIndexer"}, "y")).fit(df)
+    sources.save_model(model, str(tmp_path / "m"), df)
+    back = sources.load_model(str(tmp_path / "m"), inputs=df.select("y", "s", "x", training.F.lit(1).alias("more")))
+    assert back.transform(df).select("features").collect() == model.transform(df).select("features").collect()
+    for wrong in (df.drop("s"), df.withColumn("x", training.F.col("x").cast("int"))):
+        with pytest.raises(sources.SchemaMismatch):
+            sources.load_model(str(tmp_path / "m"), inputs=wrong)
+    sources.save_model(model, str(tmp_path / "plain"))
+    with pytest.raises(sources.SchemaMismatch):
+        sources.load_model(str(tmp_path / "plain"), inputs=df)
+
+
+def test_folds_and_splits_by_hash(spark):
+    df = spark.range(300).selectExpr("id", "CAST(id % 3 = 0 OR id % 7 = 0 AS DOUBLE) AS label", "array(CAST(id % 3 AS DOUBLE), CAST(id % 7 AS DOUBLE)) AS a").select("id", "label", features.array_to_vector("a").alias("features"))
+    for found in (lambda x: training.cross_validate(x, "rf", {"maxDepth": [1, 4], "numTrees": [3]}, 3, ["id"]), lambda x: training.validate_once(x, "rf", {"maxDepth": [1, 4], "numTrees": [3]}, 0.7, ["id"])):
+        (best, one), (best2, two) = found(df), found(df.repartition(7))
+        cells = lambda x: sorted((r["candidate"], r["fold"], r["tp"] + r["fn"], r["tn"] + r["fp"]) for r in x.collect())
+        assert best == best2 and best["numTrees"] == 3 and cells(one) == cells(two)
+    assert 60 <= sum(r[2] + r[3] for r in cells(one)) / 2 <= 120
+    assert training.grid_maps({}) == [{}] and len(training.grid_maps({"a": [1, 2], "b": [3, 4, 5]})) == 6
+
+
+def test_components(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(300, 60)) @ rnd.normal(size=(60, 60))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "a array<double>").select(features.array_to_vector("a").alias("features"))
+    values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    found = features.VariancePCA(variance=0.9999999).fit(df)
+    assert found.k > 50 and found.shares == pytest.approx((values / values.sum()).tolist(), abs=1e-9)
+    few = features.VariancePCA(variance=0.5).fit(df)
+    assert few.k == int(np.searchsorted(np.cumsum(values / values.sum()), 0.5)) + 1 and few.transform(df).first()["pca_features"].size == few.k
+    assert features.VariancePCA(k=3).fit(df).k == 3
+    none = features.VariancePCA(variance=0.9).fit(df.limit(0))
+    assert none.k == 0 and none.variance_table(spark).count() == 0 and none.transform(df).first()["pca_features"].size == 0 and none.loadings(spark, []).count() == 0
 
 
 def test_sources(spark, tmp_path):

@@ -135,32 +135,41 @@ def hybrid_selection(categorical: list[int], numeric: list[int], label: str, mod
 
 
 class VariancePCA:
-    """ML-06, ML-07: principal components, fitted once at the most; the smallest number that reaches a
-    share of the variance is sliced from them."""
+    """ML-06, ML-07: principal components of one covariance aggregate: the first ``k``, or as few as reach a share of
+    the variance. All components are found at once, as many as the vector has slots, so any share is reached. A
+    frame without rows has no components, and vectors come out empty."""
 
-    def __init__(self, k: int | None = None, variance: float | None = None, most: int = 50, source: str = "features", out: str = "pca_features"):
-        self.k, self.variance, self.most, self.source, self.out, self.model = k, variance, most, source, out, None
+    def __init__(self, k: int | None = None, variance: float | None = None, source: str = "features", out: str = "pca_features"):
+        self.wanted, self.variance, self.source, self.out, self.model, self.k = k, variance, source, out, None, 0
+        self.shares: list[float] = []
 
     def fit(self, df: DataFrame) -> VariancePCA:
-        width = df.select(F.size(vector_to_array(self.source)).alias("n")).first()["n"]
-        self.model = PCA(k=min(self.k or self.most, width), inputCol=self.source, outputCol="_pca").fit(df)
+        first = df.select(F.size(vector_to_array(self.source)).alias("n")).first()
+        if first is None:
+            return self
+        self.model = PCA(k=first["n"], inputCol=self.source, outputCol="_pca").fit(df)
+        self.shares = [float(x) if x == x else 0.0 for x in self.model.explainedVariance.toArray()]  # no variance, no share
         total, n = 0.0, 0
-        for n, share in enumerate(self.model.explainedVariance.toArray(), 1):
+        for n, share in enumerate(self.shares, 1):
             total += share
             if self.variance and total >= self.variance - 1e-12:
                 break
-        self.k = self.k or n
+        self.k = min(self.wanted, len(self.shares)) if self.wanted else n
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.model is None:
+            return df.withColumn(self.out, array_to_vector(F.array().cast("array<double>")))
         out = VectorSlicer(inputCol="_pca", outputCol=self.out, indices=list(range(self.k))).transform(self.model.transform(df))
         return out.drop("_pca")
 
     def variance_table(self, spark: SparkSession) -> DataFrame:
         """Component, share, running share, and the elbow: the component furthest below the line from the
         first to the last."""
-        shares = [float(x) for x in self.model.explainedVariance.toArray()]
+        shares = self.shares
         n, rows, run = len(shares), [], 0.0
+        if not n:
+            return spark.createDataFrame([], "component int, share double, running double, is_elbow boolean")
         gaps = [shares[0] + (shares[-1] - shares[0]) * i / max(1, n - 1) - s for i, s in enumerate(shares)]
         elbow = max(range(n), key=lambda i: gaps[i])
         for i, s in enumerate(shares):
@@ -169,6 +178,8 @@ class VariancePCA:
         return spark.createDataFrame(rows, "component int, share double, running double, is_elbow boolean")
 
     def loadings(self, spark: SparkSession, names: list[str]) -> DataFrame:
+        if self.model is None:
+            return spark.createDataFrame([], "feature string, component int, loading double")
         pc = self.model.pc.toArray()
         return spark.createDataFrame([(names[i], j + 1, float(pc[i, j])) for i in range(pc.shape[0]) for j in range(pc.shape[1])], "feature string, component int, loading double")
 
@@ -197,17 +208,24 @@ class Extractor:
     pca: VariancePCA | None
     target: str
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """features and label, and the columns to ``keep``."""
         out = self.model.transform(df)
         vector = "features"
         if self.pca:
             out, vector = self.pca.transform(out), self.pca.out
-        return out.select(F.col(vector).alias("features"), F.col(self.target).cast("double").alias("label"))
+        return out.select(*(keep or []), F.col(vector).alias("features"), F.col(self.target).cast("double").alias("label"))
+
+
+def feature_stages(train: DataFrame, spec: FeatureSpec) -> Pipeline:
+    return Pipeline(stages=stages(spec, train.columns, dict(train.dtypes)) if spec.features else auto_stages(train, spec.target))
+
+
+def components_of(points: DataFrame, spec: FeatureSpec) -> VariancePCA | None:
+    return VariancePCA(k=spec.pca_k, variance=None if spec.pca_k else spec.pca_variance).fit(points) if spec.reduce == "pca" else None
 
 
 def extract(train: DataFrame, spec: FeatureSpec) -> tuple[Extractor, DataFrame]:
-    made = stages(spec, train.columns, dict(train.dtypes)) if spec.features else auto_stages(train, spec.target)
-    model = Pipeline(stages=made).fit(train)
-    pca = VariancePCA(k=spec.pca_k, variance=None if spec.pca_k else spec.pca_variance).fit(model.transform(train)) if spec.reduce == "pca" else None
-    extractor = Extractor(model, pca, spec.target)
+    model = feature_stages(train, spec).fit(train)
+    extractor = Extractor(model, components_of(model.transform(train), spec), spec.target)
     return extractor, extractor.transform(train)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.sampling import with_fold
+from tidewater.operators.sampling import unit, with_fold
 
 #: Names of a model.
 ALIASES = {"rf": "randomforest", "random_forest": "randomforest", "gradientboostedtrees": "gbt", "gradient_boosted_trees": "gbt", "lr": "logisticregression", "logistic_regression": "logisticregression", "xgb": "xgboost"}
@@ -39,14 +41,6 @@ def classifier(name: str, seed: int = 42, **params):
     return GBTClassifier(**{"maxIter": 20, "maxDepth": 5, "maxBins": 64, "seed": seed, **params})
 
 
-def grid(estimator, values: dict[str, list]) -> list:
-    """ML-25: every combination of the listed parameters."""
-    b = ParamGridBuilder()
-    for name, some in values.items():
-        b = b.addGrid(estimator.getParam(BOOST_NAMES.get(name, name)), some)
-    return b.build()
-
-
 def importances(spark: SparkSession, model, names: list[str] | None = None) -> DataFrame:
     """ML-20 to ML-22: feature importances, or coefficients with the intercept; the largest first."""
     if hasattr(model, "featureImportances"):
@@ -81,6 +75,20 @@ def areas(predictions: DataFrame, label: str = "label") -> dict[str, float]:
     return {"auc_roc": e.evaluate(predictions, {e.metricName: "areaUnderROC"}), "auc_pr": e.evaluate(predictions, {e.metricName: "areaUnderPR"})}
 
 
+def areas_by(predictions: DataFrame, by: list[str], score: str = "p1", label: str = "label", bins: int = 10_000) -> DataFrame:
+    """ML-30: (by, auc_roc, auc_pr) of every group at once. Scores count by bin of the unit interval, so a group's
+    running sums are over ``bins`` rows at most; scores of one bin count as equal. Areas by trapezoids (ROC) and steps
+    (average precision); a group without both classes has none (null)."""
+    s = F.floor(F.col(score) * bins)
+    per = predictions.groupBy(*by, s.alias("_bin")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) != 1, 1)).alias("n"))
+    down = Window.partitionBy(*by).orderBy(F.desc("_bin"))
+    run = per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
+    precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    both = F.nullif(F.sum("p") * F.sum("n"), F.lit(0))
+    return run.groupBy(*by).agg((area / both).alias("auc_roc"), F.when(both.isNotNull(), precision / F.sum("p")).alias("auc_pr"))
+
+
 def evaluate(predictions: DataFrame, label: str = "label") -> DataFrame:
     a = areas(predictions, label)
     return metrics(confusion(predictions, label)).withColumns({k: F.lit(v) for k, v in a.items()})
@@ -111,43 +119,71 @@ def roc(points: DataFrame, score: str = "p1", label: str = "label", bins: int |
     return by.select("threshold", rate("p").alias("tpr"), rate("n").alias("fpr"))
 
 
-def cross_validate(df: DataFrame, estimator, param_maps: list | None = None, k: int = 5, keys: list[str] | None = None, seed: int = 42, parallelism: int = 2):
-    """ML-26: Spark's cross validator over folds by a hash of the row (``keys``, else label and features)."""
-    key = keys or ["_key"]
-    folded = with_fold(df if keys else df.withColumn("_key", F.xxhash64(F.to_json(F.struct(vector_to_array("features").alias("f"), "label")))), k, key, seed)
-    folded = folded.select("features", "label", "fold")
-    return CrossValidator(estimator=estimator, estimatorParamMaps=param_maps or [{}], evaluator=BinaryClassificationEvaluator(), numFolds=k, foldCol="fold", parallelism=parallelism, seed=seed).fit(folded)
+def _keyed(df: DataFrame, keys: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """The frame and the keys of its random choices: those given, else a hash of label and features."""
+    return (df, keys) if keys else (df.withColumn("_key", F.xxhash64(F.to_json(F.struct(vector_to_array("features").alias("f"), "label")))), ["_key"])
+
+
+def grid_maps(values: dict[str, list]) -> list[dict]:
+    """ML-25: every combination of the listed parameters, by name; without any, one empty one."""
+    return [dict(zip(values, some, strict=True)) for some in itertools.product(*values.values())]
+
+
+def tagged_predictions(points: DataFrame, name: str, candidates: list[dict], folds: list[int], seed: int = 42, params: dict | None = None, keep: list[str] | None = None) -> DataFrame:
+    """ML-26, ML-27: for every candidate and fold of ``points`` (features, label, fold), the fold's rows as a model
+    fitted on all others predicts them: candidate, fold, label, p1, prediction, and the columns to ``keep``. One frame
+    for all, so it is stored and measured in one pass."""
+    out = []
+    for i, candidate in enumerate(candidates):
+        estimator = classifier(name, seed, **{**(params or {}), **candidate})
+        for fold in folds:
+            model = estimator.fit(points.filter(F.col("fold") != fold).select("features", "label"))
+            scored = model.transform(points.filter(F.col("fold") == fold))
+            out.append(scored.select(F.lit(i).alias("candidate"), "fold", "label", vector_to_array("probability")[1].alias("p1"), "prediction", *(keep or [])))
+    return reduce(DataFrame.unionByName, out)
+
+
+def candidate_metrics(tagged: DataFrame) -> DataFrame:
+    """A row of measures per candidate and fold."""
+    return metrics(confusion(tagged, by=["candidate", "fold"]))
 
 
-def fold_metrics(df: DataFrame, estimator, k: int = 5, keys: list[str] | None = None, seed: int = 42) -> DataFrame:
+def best_candidate(measured: DataFrame, candidates: list[dict], metric: str = "f1") -> dict:
+    """The parameters with the best mean of a measure over the folds; of equal ones the first listed."""
+    means = measured.groupBy("candidate").agg(F.avg(metric).alias("mean")).orderBy(F.desc("mean"), "candidate").first()
+    return candidates[means["candidate"]] if means else {}
+
+
+def cross_validate(df: DataFrame, name: str, values: dict[str, list] | None = None, k: int = 5, keys: list[str] | None = None, seed: int = 42, metric: str = "f1", **params) -> tuple[dict, DataFrame]:
+    """ML-26: the best parameters of the grid and the measures of each candidate and fold, over folds by a hash of
+    the row (``keys``, else label and features), which don't depend on partitions."""
+    keyed, by = _keyed(df, keys)
+    candidates = grid_maps(values or {})
+    measured = candidate_metrics(tagged_predictions(with_fold(keyed, k, by, seed), name, candidates, list(range(k)), seed, params))
+    return best_candidate(measured, candidates, metric), measured
+
+
+def validate_once(df: DataFrame, name: str, values: dict[str, list] | None = None, ratio: float = 0.8, keys: list[str] | None = None, seed: int = 42, metric: str = "f1", **params) -> tuple[dict, DataFrame]:
+    """ML-27: the same over one split: fold 1 is the validation set, the rest (``ratio``) trains every candidate."""
+    keyed, by = _keyed(df, keys)
+    candidates = grid_maps(values or {})
+    marked = keyed.withColumn("fold", (unit(by, seed, "validation") >= ratio).cast("int"))
+    measured = candidate_metrics(tagged_predictions(marked, name, candidates, [1], seed, params))
+    return best_candidate(measured, candidates, metric), measured
+
+
+def fold_metrics(df: DataFrame, name: str, k: int = 5, keys: list[str] | None = None, seed: int = 42, **params) -> DataFrame:
     """ML-26: a row of measures per fold; the folds' predictions are united and measured in one pass."""
-    folded = with_fold(df if keys else df.withColumn("_key", F.xxhash64(F.to_json(F.struct(vector_to_array("features").alias("f"), "label")))), k, keys or ["_key"], seed)
-    out = None
-    for i in range(k):
-        scored = estimator.fit(folded.filter(F.col("fold") != i)).transform(folded.filter(F.col("fold") == i)).select("fold", "label", "prediction")
-        out = scored if out is None else out.unionByName(scored)
-    return metrics(confusion(out, by=["fold"]))
+    return cross_validate(df, name, None, k, keys, seed, **params)[1].drop("candidate")
 
 
 def summary(per_fold: DataFrame) -> DataFrame:
     """ML-26: mean and population standard deviation of each measure."""
-    names = [c for c in per_fold.columns if c not in ("fold", "tp", "tn", "fp", "fn")]
+    names = [c for c in per_fold.columns if c not in ("candidate", "fold", "tp", "tn", "fp", "fn")]
     row = per_fold.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_std").alias("std")) for c in names])).alias("r")).select("r.*")
 
 
-def validate_once(df: DataFrame, estimator, param_maps: list | None = None, ratio: float = 0.8, seed: int = 42, parallelism: int = 2):
-    """ML-27."""
-    return TrainValidationSplit(estimator=estimator, estimatorParamMaps=param_maps or [{}], evaluator=BinaryClassificationEvaluator(), trainRatio=ratio, seed=seed, parallelism=parallelism).fit(df)
-
-
-def best_params(fitted) -> dict:
-    """Name to value of the best model's map, of a cross validator or a single split."""
-    scores = fitted.avgMetrics if hasattr(fitted, "avgMetrics") else fitted.validationMetrics
-    best = max(range(len(scores)), key=lambda i: scores[i])
-    return {p.name: v for p, v in fitted.getEstimatorParamMaps()[best].items()}
-
-
 def train_final(df: DataFrame, name: str, best: dict | None = None, seed: int = 42, **params):
     """ML-28: fitted with the best parameters found."""
     return classifier(name, seed, **{**params, **(best or {})}).fit(df)

@@ -44,13 +44,13 @@ def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFram
     each task; for a large one, a threshold over counts by hash bucket is found and only its bucket is ranked."""
     if n <= MAX_TOP:
         return df.orderBy(hashed(keys, seed), *keys).limit(n)
-    return between_ranks(df, unit(keys, seed), keys, 0, n)
+    return between_ranks(df, hashed(keys, seed), keys, 0, n)
 
 
 def balanced_train_test(df: DataFrame, label: str, keys: list[str], train_ratio: float = 0.75, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """SMP-02: positives split by ratio, as many negatives to each side; keys of both sides are disjoint.
     Rows rank by hash within a class, found by a threshold over counts by hash bucket, never by one sort."""
-    u = unit(keys, seed)
+    u = hashed(keys, seed)
     counts = df.groupBy().agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n")).first()
     pos, neg = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
     n_train = int(counts["p"] * train_ratio)
@@ -65,13 +65,13 @@ def balanced_train_test(df: DataFrame, label: str, keys: list[str], train_ratio:
 
 
 def between_ranks(df: DataFrame, u: Column, keys: list[str], low: int, high: int, bits: int = 16) -> DataFrame:
-    """The rows whose rank by ``u`` (ties by keys) is from ``low`` to below ``high``. Counts by bucket give
+    """The rows whose rank by the hash ``u`` (ties by keys) is from ``low`` to below ``high``. Counts by bucket give
     the two buckets in which the bounds fall; only those rows are ranked."""
     from pyspark.sql import Window
 
     if high <= low:
         return df.limit(0)
-    bucket = F.floor(u * (1 << bits)).cast("long")
+    bucket = F.shiftright(u, BITS - bits)
     counts = df.groupBy(bucket.alias("_b")).count()
     upto = counts.select("_b", (F.sum("count").over(Window.orderBy("_b")) - F.col("count")).alias("_before"), F.col("count").alias("_in"))  # one row per bucket, 65,536 at most
     marked = df.withColumn("_b", bucket).join(F.broadcast(upto.filter((F.col("_before") < high) & (F.col("_before") + F.col("_in") > low))), "_b")
@@ -83,7 +83,7 @@ def between_ranks(df: DataFrame, u: Column, keys: list[str], low: int, high: int
 def balanced(df: DataFrame, label: str, keys: list[str], seed: int = 42) -> DataFrame:
     """SMP-03: as many rows of each of the two classes as the smaller has."""
     c = df.agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n")).first()
-    k, u = min(c["p"], c["n"]), unit(keys, seed)
+    k, u = min(c["p"], c["n"]), hashed(keys, seed)
     return between_ranks(df.filter(F.col(label) == 1), u, keys, 0, k).unionByName(between_ranks(df.filter(F.col(label) == 0), u, keys, 0, k))
 
 

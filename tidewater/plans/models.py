@@ -48,7 +48,7 @@ def forest_holdout(spark, d):
     x = labelled(spark, d)
     train, test = x.filter(F.col("l_orderkey") % 4 != 0), x.filter(F.col("l_orderkey") % 4 == 0)
     e, points = features.extract(train, SPEC)
-    model = training.train_final(points.cache(), "rf", numTrees=10, maxDepth=4)
+    model = training.train_final(points, "rf", numTrees=10, maxDepth=4)
     return training.evaluate(model.transform(e.transform(test)))
 
 
@@ -56,17 +56,15 @@ def forest_holdout(spark, d):
 def boosted_importances(spark, d):
     """ML-21, ML-23, SRT-02: boosted trees and their importances."""
     e, points = features.extract(labelled(spark, d), SPEC)
-    return training.importances(spark, training.classifier("xgboost", num_round=5, max_depth=3).fit(points.cache()))
+    return training.importances(spark, training.classifier("xgboost", num_round=5, max_depth=3).fit(points))
 
 
 @query()
 def logistic_cross_validation(spark, d):
     """ML-22, ML-25, ML-26, ML-28, SMP-06: a grid by cross validation, then measures per fold."""
     _, points = features.extract(labelled(spark, d), SPEC)
-    points = points.cache()
-    lr = training.classifier("lr", maxIter=10)
-    best = training.best_params(training.cross_validate(points, lr, training.grid(lr, {"regParam": [0.01, 0.1]}), k=2))
-    return training.summary(training.fold_metrics(points, training.classifier("lr", maxIter=10, **best), k=2))
+    best, _ = training.cross_validate(points, "lr", {"regParam": [0.01, 0.1]}, k=2, maxIter=10)
+    return training.summary(training.fold_metrics(points, "lr", k=2, maxIter=10, **best))
 
 
 @query()

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import clock, codes, flags
-from tidewater.ml import training
-from tidewater.ml.features import Extractor, FeatureSpec, extract
+from tidewater.ml.features import FeatureSpec
+from tidewater.ml.runs import RunResult, model_run
 from tidewater.operators import clean, joins, sampling, windows
 from tidewater.sources import write_table
 
@@ -122,28 +122,8 @@ def feature_pipeline(flights: DataFrame, weather: DataFrame | None, e: Experimen
     return guard(train), guard(test)
 
 
-@dataclass
-class Trained:
-    extractor: Extractor
-    model: object
-    cv: DataFrame
-    best: dict
-    holdout: DataFrame
-    predictions: DataFrame
-
-
-def ml_pipeline(train: DataFrame, test: DataFrame, e: Experiment) -> Trained:
-    """PIP-05: extract, cross-validate (with a grid if there is one), fit with the best parameters, measure
-    on the held-out set."""
+def ml_pipeline(train: DataFrame, test: DataFrame, e: Experiment, folder: str, fast: bool = False) -> RunResult:
+    """PIP-05: a whole model run of an experiment, each step stored under ``folder`` and read back where it is there
+    already; see ``runs.model_run``."""
     spec = FeatureSpec(features=e.features | {f: "None" for f in e.weather_features}, target="label_is_delayed", reduce=e.reduce)
-    extractor, points = extract(train, spec)
-    points = points.cache()
-    best: dict = {}
-    if e.grid:
-        estimator = training.classifier(e.model, e.seed, **e.params)
-        best = training.best_params(training.cross_validate(points, estimator, training.grid(estimator, e.grid), e.folds, seed=e.seed))
-    estimator = training.classifier(e.model, e.seed, **{**e.params, **best})
-    cv = training.fold_metrics(points, estimator, e.folds, seed=e.seed)
-    model = estimator.fit(points)
-    predictions = model.transform(extractor.transform(test))
-    return Trained(extractor, model, cv, best, training.evaluate(predictions), predictions)
+    return model_run(train, test, folder, spec, ["unique_id"], e.model, e.params, e.grid, e.folds, seed=e.seed, fast=fast)

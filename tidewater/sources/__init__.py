@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -92,13 +93,63 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """SNK-04."""
-    model.write().overwrite().save(path)
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def read_text_file(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any file system that Spark knows, or None if there is none."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
 
+def write_text_file(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = _file_system(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def save_model(model, path: str, inputs: DataFrame | None = None) -> None:
+    """SNK-04: a fitted pipeline or model; with ``inputs`` (what it was fitted on) beside the schema of the columns it
+    reads."""
+    model.write().overwrite().save(path)
+    if inputs is not None:
+        write_text_file(inputs.sparkSession, f"{path}/input-schema.json", inputs.schema.json())
+
+
+class SchemaMismatch(ValueError):
+    """A frame lacks columns that a stored model was fitted on, or has them in other types."""
+
+
+def load_model(path: str, kind=PipelineModel, inputs: DataFrame | None = None):
+    """SNK-04: the stored model. With ``inputs`` (what it shall be applied to) it is refused, by ``SchemaMismatch``, if
+    a column that it was fitted on is absent or of another type; more columns and another order are no mismatch."""
+    if inputs is not None:
+        stored = read_text_file(inputs.sparkSession, f"{path}/input-schema.json")
+        if stored is None:
+            raise SchemaMismatch(f"{path} has no input schema")
+        wanted = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(stored)).fields}
+        found = {f.name: f.dataType for f in inputs.schema.fields}
+        wrong = [f"{c}: {found[c].simpleString() if c in found else 'absent'}, not {t.simpleString()}" for c, t in wanted.items() if c not in found or found[c].simpleString() != t.simpleString()]
+        if wrong:
+            raise SchemaMismatch("; ".join(wrong))
+    return kind.load(path)
 
 
 def register(df: DataFrame, name: str) -> DataFrame:
