@@ -36,14 +36,21 @@ class CachedIds:
         """The text's pieces, or None where it must be encoded whole."""
         raise NotImplementedError
 
-    def whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list:
         """The ids of each text or piece as little-endian 32-bit integers."""
         raise NotImplementedError
 
+    def joined(self, parts):
+        """What a text's pieces make together."""
+        return b"".join(parts)
+
+    def size(self, ids) -> int:
+        return len(ids)
+
     def learn(self, words: list[str]) -> None:
         self.new.update(zip(words, self.whole(words), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list:
         """The ids of each text as little-endian 32-bit integers. All unseen pieces of the texts are encoded
         together, so give some at a time."""
         split = [self.pieces(t) for t in texts]
@@ -54,9 +61,9 @@ class CachedIds:
         if missing:
             self.new.update({w: self.old[w] for w in missing if w in self.old})
             self.learn([w for w in missing if w not in self.old])
-            self.held += sum(map(len, missing)) + sum(len(self.new[w]) for w in missing)
+            self.held += sum(map(len, missing)) + sum(self.size(self.new[w]) for w in missing)
         known = self.new.__getitem__
-        return [self.whole([t])[0] if w is None else b"".join(map(known, w)) for t, w in zip(texts, split, strict=True)]
+        return [self.joined(self.whole([t])) if w is None else self.joined(map(known, w)) for t, w in zip(texts, split, strict=True)]
 
 
 class WordIds(CachedIds):

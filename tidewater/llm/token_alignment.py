@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.cached_ids import PieceIds, kept, word_ids
+from tidewater.llm.cached_ids import CachedIds, PieceIds, WordIds, kept
 from tidewater.llm.common import documents, in_parts, stored, whole_text
 from tidewater.llm.shingles import contents
 
@@ -48,33 +48,61 @@ def piece_tokens(vocabulary: list[str]) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if len(p) == 6 and p.startswith("<0x") and p.endswith(">") else p.replace("▁", " ").encode() for p in vocabulary]
 
 
-class Side:
-    """One tokenizer of a worker: ids of texts, and each id's bytes, their number, and its decimal text with each
-    of the marks that can follow it."""
-
-    def __init__(self, cached, tokens: list[bytes]):
-        self.cached, self.tokens = cached, tokens
-        self.lengths = np.array(list(map(len, tokens)), np.int64)
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4").astype(np.int64) for x in self.cached.encode(texts)]
-
-    def says(self, ids: np.ndarray, raw: bytes) -> bool:
-        """Whether the tokens join to these bytes."""
-        return int(self.lengths[ids].sum()) == len(raw) and b"".join(map(self.tokens.__getitem__, ids.tolist())) == raw
-
-
-_sides: dict[tuple, tuple] = {}
-
-
-def sides(a: str, b: str) -> tuple[Side, Side, list[str]]:
-    """Both tokenizers of this Python worker, and the decimal texts of ids, followed by each of `,` `|` `;`."""
-    if (a, b) not in _sides:
-        words, pieces = word_ids(a, True), kept(PieceIds, b)
-        found = Side(words, byte_level_tokens(words.tokenizer)), Side(pieces, piece_tokens(pieces.vocabulary))
-        n = max(len(s.tokens) for s in found)
-        _sides[a, b] = (*found, [f"{i}{mark}" for mark in ",|;" for i in range(n)])
-    return _sides[a, b]
+class BothIds(CachedIds):
+    """Ids of both tokenizers of a worker, by the words of B: a cut before a blank that follows something other than
+    white space is one for A too, whose pre-tokens begin there whatever comes before. A piece whose tokens of A or B
+    don't join to a blank and the piece has no ids (None), nor has a text with such a piece."""
+
+    def __init__(self, a: str, b: str):
+        super().__init__()
+        self.a, self.b = WordIds(a, True), PieceIds(b)
+        self.tokens = byte_level_tokens(self.a.tokenizer), piece_tokens(self.b.vocabulary)
+        self.lengths = [np.array(list(map(len, x)), np.int64) for x in self.tokens]
+        n = max(map(len, self.tokens))
+        self.marked = [f"{i}{mark}" for mark in ",|;" for i in range(n)]  # decimal texts of ids, with each mark that can follow
+
+    def pieces(self, text: str) -> list[str] | None:
+        return self.b.pieces(text) if self.a.by_word else None
+
+    def right(self, ids: list[bytes], tokens: list[bytes], lengths: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Which pieces' tokens join to their bytes."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        ends = np.concatenate(([0], np.cumsum(lengths[flat])))[np.cumsum([len(x) // 4 for x in ids])]
+        if b"".join(map(tokens.__getitem__, flat.tolist())) == b"".join(raw) and (ends == np.cumsum(list(map(len, raw)))).all():
+            return np.ones(len(ids), bool)
+        return np.array([b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) == r for x, r in zip(ids, raw, strict=True)])
+
+    def ids_of_a(self, spaced: list[str], raw: list[bytes]) -> list[bytes]:
+        """Pieces that end in something other than white space are encoded as one text, which is cut again where
+        they end; all others, and all if a token reaches across, one by one."""
+        closed = [k for k, t in enumerate(spaced) if not t[-1].isspace()]
+        if not self.a.by_word or len(closed) < 2:
+            return self.a.whole(spaced)
+        flat = self.a.whole(["".join(spaced[k] for k in closed)])[0]
+        ends = np.cumsum(self.lengths[0][np.frombuffer(flat, "<u4")])
+        bounds = np.cumsum([len(raw[k]) for k in closed])
+        at = np.minimum(np.searchsorted(ends, bounds), len(ends) - 1)
+        if not (ends[at] == bounds).all():
+            return self.a.whole(spaced)
+        edges = [0, *(4 * (at + 1)).tolist()]
+        found = dict(zip(closed, (flat[x:y] for x, y in zip(edges, edges[1:], strict=False)), strict=True))
+        rest = [k for k in range(len(spaced)) if k not in found]
+        found.update(zip(rest, self.a.whole([spaced[k] for k in rest]), strict=True))
+        return [found[k] for k in range(len(spaced))]
+
+    def whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        spaced = [f" {t}" for t in texts]
+        raw = [t.encode() for t in spaced]
+        both = self.ids_of_a(spaced, raw), [x if t or not self.b.by_word else self.b.blank for t, x in zip(texts, self.b.whole(texts), strict=True)]
+        right = np.logical_and(*[self.right(ids, tokens, lengths, raw) for ids, tokens, lengths in zip(both, self.tokens, self.lengths, strict=True)])
+        return [x if good else None for x, good in zip(zip(*both, strict=True), right.tolist(), strict=True)]
+
+    def joined(self, parts) -> tuple[bytes, bytes] | None:
+        parts = list(parts)
+        return None if None in parts else tuple(map(b"".join, zip(*parts, strict=True)))
+
+    def size(self, ids) -> int:
+        return len(ids[0]) + len(ids[1]) if ids else 0
 
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +175,12 @@ def group_links(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray, ow
 
 def merged(owner: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each owner's distinct pairs in order, with their times added up."""
+    if len(pair) and times.max() == 1 and owner[-1] < 1 << 31 and not (int(np.bitwise_or.reduce(pair)) & 0xFFFF0000FFFF0000):
+        # single links of ids below 2^16: owner and pair in one number, which sorts faster
+        packed = np.sort((owner << 32) | (pair >> 16) | (pair & 0xFFFF))
+        at = np.flatnonzero(np.diff(packed, prepend=-1))
+        packed, times = packed[at], np.diff(at, append=len(packed))
+        return packed >> 32, ((packed & 0xFFFF0000) << 16) | (packed & 0xFFFF), times
     order = np.lexsort((pair, owner))
     owner, pair, times = owner[order], pair[order], times[order]
     new = np.ones(len(pair), bool)
@@ -155,26 +189,24 @@ def merged(owner: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.n
     return owner[at], pair[at], np.add.reduceat(times, at) if len(at) else times
 
 
-def align_texts(texts: list[str], a: Side, b: Side, marked: list[str]) -> tuple:
+def align_texts(texts: list[str], both: BothIds) -> tuple:
     """For texts: (n_a, n_b, n_groups, n_links) as arrays, the groups as text, and (owner, pair, times) of the
     documents' distinct links."""
-    ia, ib = a.ids([f" {t}" if t else "" for t in texts]), b.ids(texts)
     none = np.zeros(0, np.int64)
-    for k, t in enumerate(texts):
-        raw = f" {t}".encode()
-        if not t or not a.says(ia[k], raw) or not b.says(ib[k], raw):
-            ia[k] = ib[k] = none
+    full = iter(both.encode([t for t in texts if t]))
+    found = [next(full) if t else None for t in texts]
+    ia, ib = ([np.frombuffer(x[k], "<u4").astype(np.int64) if x else none for x in found] for k in range(2))
     na, nb = (np.array(list(map(len, x)), np.int64) for x in (ia, ib))
     first_a, first_b = starts_of(na), starts_of(nb)
     ta, tb = np.concatenate([*ia, none]), np.concatenate([*ib, none])
-    cut_a, cut_b = shared_cuts(np.cumsum(a.lengths[ta]), np.cumsum(b.lengths[tb]), first_a, first_b)
+    cut_a, cut_b = shared_cuts(np.cumsum(both.lengths[0][ta]), np.cumsum(both.lengths[1][tb]), first_a, first_b)
     sa, sb = np.concatenate(([0], cut_a + 1)), np.concatenate(([0], cut_b + 1))
     ga, gb = np.diff(sa), np.diff(sb)
     owner = np.searchsorted(first_a, cut_a, "right") - 1
     per = lambda values: np.bincount(owner, values, len(texts)).astype(np.int64)
     n_groups = np.bincount(owner, minlength=len(texts))
     # the groups' text: ids of A, then of B, each with the mark that follows it
-    n = len(marked) // 3
+    n = len(both.marked) // 3
     keys = np.zeros(len(ta) + len(tb), np.int64)
     at_a = np.arange(len(ta)) + np.repeat(sb[:-1], ga)
     at_b = np.arange(len(tb)) + np.repeat(sa[1:], gb)
@@ -182,7 +214,7 @@ def align_texts(texts: list[str], a: Side, b: Side, marked: list[str]) -> tuple:
     keys[at_a[cut_a]] += n
     keys[at_b[cut_b]] += 2 * n
     edges = first_a + first_b
-    groups = ["".join(map(marked.__getitem__, keys[s:e].tolist()))[:-1] for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    groups = ["".join(map(both.marked.__getitem__, keys[s:e].tolist()))[:-1] for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     return (na, nb, n_groups, per((ga * gb).astype(np.float64))), groups, merged(*group_links(ta, tb, sa, sb, owner))
 
 
@@ -201,7 +233,7 @@ def aligned_chunks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, digest:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        a, b, marked = sides(tokenizer_a, tokenizer_b)
+        both = kept(BothIds, tokenizer_a, tokenizer_b)
         press = zstandard.ZstdCompressor(1)
         chunk, held, ids, size, kind = TaskContext.get().partitionId() << 32, [], [], 0, None
 
@@ -209,7 +241,8 @@ def aligned_chunks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, digest:
             nonlocal chunk, held, ids, size
             base = starts_of(np.array([len(g) for _, g, _ in held]))
             owner, pair, times = (np.concatenate([x[2][k] + (base[j] if k == 0 else 0) for j, x in enumerate(held)]) for k in range(3))
-            table, at, docs_of = np.unique(pair, return_inverse=True, return_counts=True)
+            table, docs_of = np.unique(pair, return_counts=True)
+            at = np.searchsorted(table, pair)
             edges = np.searchsorted(owner, np.arange(base[-1] + 1))
             links = []
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -226,7 +259,7 @@ def aligned_chunks(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, digest:
             kind, at, lo = part.schema.field("doc_id").type, contents(part.column(1))[1], 0
             while lo < part.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + GROUP_BYTES, "right")) - 1)
-                counts, groups, links = align_texts(part.column(1).slice(lo, hi - lo).to_pylist(), a, b, marked)
+                counts, groups, links = align_texts(part.column(1).slice(lo, hi - lo).to_pylist(), both)
                 held.append((counts, [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups] if digest else groups, links))
                 ids.append(part.column(0).slice(lo, hi - lo))
                 size += int(at[hi] - at[lo])
