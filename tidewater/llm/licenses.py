@@ -114,8 +114,8 @@ cc-by-nc = (?:cc by nc|creative commons attribution non ?commercial)
 cc-by-nd = (?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)
 cc-by-nc-sa = (?:cc by nc sa|creative commons attribution non ?commercial share ?alike)
 cc-by-nc-nd = (?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)
-public-domain = public domain
-proprietary = all rights reserved
+public-domain = public domain(?! of )
+proprietary = (?<! has )(?<! have )(?<! had )(?<! with )all rights reserved
 [version]
 gpl-1.0 = (?:gpl|gnu general public {L}){1.0}
 gpl-2.0 = (?:gpl|gnu general public {L}){2.0}
@@ -228,12 +228,12 @@ apache-2.0 = you may obtain a copy of the {L} at https? www apache org {L}s {L}
 apache-2.0 = www apache org {L}s {L} 2 0
 apache-1.1 = this product includes software developed by the apache software foundation
 mit = {under}(?:mit|expat) {L}
-mit = permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit = permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?
 mit = the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit = opensource org {L}s mit
 x11 = except as contained in this notice the name of the x consortium shall not be used in advertising
 bsd = {under}(?:a |an )?bsd(?: style| like)?(?: {L})?
-bsd = redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+bsd = redistribution and use(?: in source and binary forms| in source form| in binary form)? with or without modification (?:are|is) permitted(?: provided that the following conditions are met| provided)?
 bsd-3-clause = neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse or promote products
 bsd-4-clause = all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment
 bsd-2-clause = the views and conclusions contained in the software and documentation are those of the authors
@@ -386,7 +386,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
 
     Null and empty texts have no words: counts 0, null positions, empty labels, score 0. Repeated rows
     and ids each keep their own row; other columns of ``docs`` are ignored, so none can clash. Long
-    texts are scanned whole; the ordered pass is linear in a document's detections.
+    texts are scanned whole; finding the places of detections is linear in the text and in their number, and so
+    is the pass over them once they are sorted.
     """
     t = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("_t"))
     lower = F.lower("_t")
@@ -420,24 +421,22 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     )
 
 
+OPEN, CLOSE = "\x01", "\x02"  # no part of a word
+
+
 def _detections(padded: str) -> Column:
-    """All matches of all rules whose keyword the text has, as (start, shorter-last key, priority, label)."""
+    """All matches of all rules whose keyword the text has, as (start, shorter-last key, priority, label); places are
+    numbers of words."""
     table = F.from_json(F.lit(json.dumps(rules())), "array<struct<label:string,rx:string,prio:int,kws:array<string>>>")
     tried = F.filter(table, lambda r: F.exists(r["kws"], lambda k: F.contains(F.col(padded), k)) & F.rlike(F.col(padded), r["rx"]))
 
     def places(r: Column) -> Column:
-        matches = F.regexp_extract_all(F.col(padded), r["rx"], F.lit(0))
-        gaps = F.split(F.col(padded), r["rx"], -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-        walked = F.aggregate(
-            F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m")),
-            start,
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-                F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["g"])).alias("s"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("e"))).alias("out"),
-            ),
-        )
-        return F.transform(walked["out"], lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("ne"), (-r["prio"]).alias("np"), r["label"].alias("label")))
+        # matches begin and end between words, so marks put around them stay at the first and the last word, and the
+        # words' own numbers are the places: no running sum, and the work is linear in the matches
+        marked = F.split(F.regexp_replace(F.col(padded), r["rx"], F.lit(f"{OPEN}$0{CLOSE}")), " ", -1)
+        numbered = lambda found: F.array_compact(F.transform(marked, lambda w, i: F.when(found(w), i)))
+        ends = F.arrays_zip(numbered(lambda w: F.startswith(w, F.lit(OPEN))).alias("s"), numbered(lambda w: F.endswith(w, F.lit(CLOSE))).alias("e"))
+        return F.transform(ends, lambda d: F.struct(d["s"].alias("s"), (-d["e"] - 1).alias("ne"), (-r["prio"]).alias("np"), r["label"].alias("label")))
 
     return F.array_sort(F.flatten(F.transform(tried, places)))
 
