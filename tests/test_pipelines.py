@@ -160,3 +160,33 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT max(hour_count) FROM hours").first()[0] == 1
+
+
+def test_selection_against_sparks_own_tests(spark):
+    from pyspark.ml.stat import ANOVATest, ChiSquareTest
+
+    from tidewater.ml import selection
+
+    rnd = random.Random(4)
+    rows = []
+    for _ in range(400):
+        y = rnd.randrange(3)
+        rows.append((float(y), float(rnd.randrange(4)), float(y if rnd.random() < 0.6 else rnd.randrange(5)), 1.0, rnd.gauss(0, 1), rnd.gauss(y * 0.3, 1), rnd.gauss(0, 3)))
+    names = ["label", "a", "b", "one", "u", "v", "w"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    found = {r["column"]: r for r in selection.tests(df, ["a", "b", "one"], ["u", "v", "w"], "label").collect()}
+    for test, columns, statistic in ((ChiSquareTest, ["a", "b"], "statistic"), (ANOVATest, ["u", "v", "w"], "fValue")):
+        points = df.select("label", features.array_to_vector(training.F.array(*columns)).alias("features"))
+        for c, r in zip(columns, test.test(points, "features", "label", True).orderBy("featureIndex").collect(), strict=True):
+            assert found[c]["statistic"] == pytest.approx(r[statistic], rel=1e-9) and found[c]["p"] == pytest.approx(r["pValue"], rel=1e-6, abs=1e-12)
+    assert (found["one"]["statistic"], found["one"]["p"]) == (0.0, 1.0)
+    tested = selection.tests(df, ["a", "b", "one"], ["u", "v", "w"], "label")
+    p = sorted((r["p"], c) for c, r in found.items())
+    passing = [k for k, (x, _) in enumerate(p, 1) if x <= 0.3 * k / 6]
+    for mode, threshold, want in (("fpr", 0.05, {c for x, c in p if x < 0.05}), ("fwe", 0.05, {c for x, c in p if x < 0.05 / 6}), ("numTopFeatures", 2, {c for _, c in p[:2]}),
+                                  ("percentile", 0.5, {c for _, c in p[:3]}), ("fdr", 0.3, {c for _, c in p[: max(passing, default=0)]})):
+        assert {r["column"] for r in selection.selected(tested, mode, threshold).filter("selected").collect()} == want
+    assert selection.hybrid_columns(df, ["a", "b"], ["u", "v"], "label") == ["b", "u", "v"] and selection.hybrid_columns(df, ["a", "b"], ["u", "v"], "label", numeric_test=True)[:1] == ["b"]
+    assert selection.tests(df.limit(0), ["a"], ["u"], "label").count() == 0
+    nulls = spark.createDataFrame([(1, None, 1.0), (0, "x", None), (1, "x", 2.0), (None, "x", 3.0), (0, None, 2.0)], "label int, c string, n double")
+    assert {r["column"]: r["statistic"] for r in selection.tests(nulls, ["c"], ["n"], "label").collect()}["c"] == pytest.approx(0.0)

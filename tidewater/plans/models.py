@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidewater.functions.flags import flag
-from tidewater.ml import features, training
+from tidewater.ml import features, selection, training
 from tidewater.plans.registry import query, rounded, table
 from tidewater.plans.relational import LATE, late_items
 
@@ -91,3 +91,79 @@ def polynomial_regression(spark, d):
     expanded = features.polynomial().transform(points).select(F.col("expanded").alias("features"), "label")
     _, found = training.linear_regression(expanded, maxIter=10)
     return expanded.agg(F.count("*").alias("n")).withColumns({k: F.lit(v) for k, v in found.items()})
+
+
+ITEMS = f"""{LATE}, i AS (SELECT l_returnflag, l_linestatus, o_orderpriority, l_quantity, l_discount, l_extendedprice, CAST(l_quantity * (1 - l_discount) > 24 AS INT) AS label FROM late)"""
+CATEGORIES, NUMBERS = ["l_returnflag", "l_linestatus", "o_orderpriority"], ["l_quantity", "l_discount", "l_extendedprice"]
+
+
+def _tests_sql() -> str:
+    chi = " UNION ALL ".join(f"""SELECT '{c}' AS "column", 'chi2' AS test, sum(power(o - r * l / n::DOUBLE, 2) / (r * l / n::DOUBLE)) AS statistic, (count(DISTINCT v) - 1) * (count(DISTINCT label) - 1) AS dof FROM (
+      SELECT v, label, o, sum(o) OVER (PARTITION BY v) AS r, sum(o) OVER (PARTITION BY label) AS l, sum(o) OVER () AS n FROM (SELECT a.v, b.label, (SELECT count(*) FROM i WHERE i.{c} = a.v AND i.label = b.label) AS o
+      FROM (SELECT DISTINCT {c} AS v FROM i) a, (SELECT DISTINCT label FROM i) b))""" for c in CATEGORIES)
+    f = " UNION ALL ".join(f"""SELECT '{c}', 'anova', (sum(n * power(m - (SELECT avg({c}) FROM i), 2)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))), count(*) - 1 FROM (SELECT label, count(*) AS n, avg({c}) AS m, var_pop({c}) AS v FROM i GROUP BY 1)""" for c in NUMBERS)
+    return f"""WITH {ITEMS}, t AS ({chi} UNION ALL {f})
+SELECT "column", test, round(statistic, 4) AS statistic, CAST(dof AS BIGINT) AS dof, statistic > CASE dof WHEN 1 THEN 3.8415 WHEN 2 THEN 5.9915 WHEN 4 THEN 9.4877 END AS selected FROM t"""
+
+
+@query(_tests_sql())
+def feature_tests(spark, d):
+    """ML-08, ML-09: chi-square and F statistics of line items' columns against a label, and which columns a share of 5 %
+    of false positives keeps (SQL: by the critical values)."""
+    x = labelled(spark, d)
+    found = selection.selected(selection.tests(x, CATEGORIES, NUMBERS, "label"))
+    dof = selection.chi_square(x, CATEGORIES, "label").select("column", "dof").unionByName(selection.anova(x, NUMBERS, "label").select("column", F.col("dof_between").alias("dof")))
+    return found.join(dof, "column").select("column", "test", F.round("statistic", 4).alias("statistic"), "dof", "selected")
+
+
+def _regression_sql(a: str, b: str, source: str) -> str:
+    """Least squares on two columns in closed form, from the covariances."""
+    return f"""WITH v AS ({source}), c AS (SELECT var_pop({a}) AS aa, var_pop({b}) AS bb, covar_pop({a}, {b}) AS ab, covar_pop({a}, y) AS ay, covar_pop({b}, y) AS byy, var_pop(y) AS yy, avg({a}) AS ma, avg({b}) AS mb, avg(y) AS my, count(*) AS n FROM v),
+k AS (SELECT *, (bb * ay - ab * byy) / (aa * bb - ab * ab) AS ka, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS kb FROM c)
+SELECT n, round(my - ka * ma - kb * mb, 3) AS intercept, round(ka, 3) AS first, round(kb, 3) AS second, round(sqrt(yy - ka * ay - kb * byy), 3) AS rmse, round((ka * ay + kb * byy) / yy, 6) AS r2 FROM k"""
+
+
+def regressed(points):
+    model, found = training.linear_regression(points, solver="normal")
+    k = model.coefficients
+    return points.agg(F.count("*").alias("n")).select("n", *[F.round(F.lit(float(v)), 3).alias(c) for c, v in (("intercept", model.intercept), ("first", k[0]), ("second", k[1]), ("rmse", found["rmse"]))], F.round(F.lit(found["r2"]), 6).alias("r2"))
+
+
+@query(_regression_sql("l_quantity", "l_discount", "SELECT l_quantity, l_discount, l_extendedprice AS y FROM lineitem"))
+def price_regression(spark, d):
+    """ML-34: least squares from one aggregate of products, and its errors."""
+    _, points = features.extract(table(spark, d, "lineitem"), features.FeatureSpec({"l_quantity": "None", "l_discount": "None"}, "l_extendedprice"))
+    return regressed(points)
+
+
+@query(_regression_sql("q", "q2", "SELECT l_quantity / 10 AS q, power(l_quantity / 10, 2) AS q2, l_tax * l_quantity AS y FROM lineitem"))
+def quadratic_regression(spark, d):
+    """ML-11, ML-34: the same on a number and its square, made by polynomial expansion."""
+    li = table(spark, d, "lineitem").select((F.col("l_quantity") / 10).alias("q"), (F.col("l_tax") * F.col("l_quantity")).alias("y"))
+    _, points = features.extract(li, features.FeatureSpec({"q": "None"}, "y"))
+    return regressed(features.polynomial().transform(points).select(F.col("expanded").alias("features"), "label"))
+
+
+@query(f"""WITH {ITEMS}, g AS (SELECT avg(label) FILTER (l_returnflag = 'R') AS p, avg(label) FILTER (l_returnflag <> 'R') AS q FROM i)
+SELECT 'returned' AS feature, round(ln(p / (1 - p)) - ln(q / (1 - q)), 4) AS importance FROM g UNION ALL SELECT 'intercept', round(ln(q / (1 - q)), 4) FROM g""")
+def logistic_odds(spark, d):
+    """ML-22, ML-28: a logistic model of one flag, whose optimum has a closed form: the logarithms of the odds."""
+    x = labelled(spark, d).withColumn("returned", flag(F.col("l_returnflag") == "R")).select("returned", "label")
+    _, points = features.extract(x, features.FeatureSpec({"returned": "None"}, "label"))
+    found = training.importances(spark, training.train_final(points, "lr", tol=1e-12), ["returned"])
+    return found.select("feature", F.round("importance", 4).alias("importance"))
+
+
+SHARES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query(f"""SELECT {len(SHARES)}::BIGINT AS components, round({' + '.join(f'var_samp({c})' for c in SHARES)}, 4) AS variance, 1.0::DOUBLE AS shares, true AS apart, round(var_samp(l_quantity), 4) AS least_first FROM lineitem""")
+def component_invariants(spark, d):
+    """ML-06, ML-07, UDF-04: of all components: their variances add up to the columns' (the trace), their shares to 1, their
+    projections are uncorrelated, and the first varies as much as any column does."""
+    _, points = features.extract(table(spark, d, "lineitem"), features.FeatureSpec(dict.fromkeys(SHARES, "None"), "l_extendedprice"))
+    pca = features.VariancePCA(variance=1.0).fit(points)
+    p = [vector_to_array("pca_features")[i] for i in range(len(pca.shares))]
+    pairs = [F.abs(F.covar_samp(a, b)) / F.sqrt(F.var_samp(a) * F.var_samp(b)) for i, a in enumerate(p) for b in p[i + 1 :]]
+    row = pca.transform(points).agg(F.round(sum(F.var_samp(c) for c in p), 4).alias("variance"), (F.greatest(*pairs) < 1e-6).alias("apart"), F.var_samp(p[0]).alias("first"), F.var_samp(vector_to_array("features")[0]).alias("quantity"))
+    return row.select(F.lit(len(pca.shares)).cast("long").alias("components"), "variance", F.round(F.lit(sum(pca.shares)), 9).alias("shares"), "apart", F.when(F.col("first") >= F.col("quantity") * (1 - 1e-9), F.round("quantity", 4)).alias("least_first"))

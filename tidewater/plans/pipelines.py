@@ -86,7 +86,8 @@ def preprocess_weather(weather: DataFrame, airports: DataFrame | None = None, fl
 
 
 def data_pipeline(flights: DataFrame, weather: DataFrame, airports: DataFrame, experiments: list[Experiment], out: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """PIP-03: both sides preprocessed, pruned to what the experiments use, stored if a folder is given."""
+    """PIP-03: both sides preprocessed, pruned to what the experiments use, stored if a folder is given and read from
+    there, so that what follows doesn't prepare them again."""
     f = preprocess_flights(flights, airports, weather)
     w = preprocess_weather(weather, airports, f)
     f = clean.prune(f, [list(e.features) for e in experiments], ["unique_id", "ORIGIN_WBAN", "DEST_WBAN", "utc_hour_number", "utc_arr_hour_number", *sorted({e.target for e in experiments}), "month"])
@@ -94,6 +95,7 @@ def data_pipeline(flights: DataFrame, weather: DataFrame, airports: DataFrame, e
     if out:
         write_table(f, f"{out}/flights")
         write_table(w, f"{out}/weather")
+        f, w = (f.sparkSession.read.parquet(f"{out}/{name}") for name in ("flights", "weather"))
     return f, w
 
 
