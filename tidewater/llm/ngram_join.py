@@ -11,8 +11,8 @@ steps.
 3. The tokens of the nodes that are left are counted in full, and each node's tokens get one global order,
    rarest first. A node of n tokens with prefix length n - ceil(t n) + l shares at least l prefix tokens with
    any partner of similarity t whose prefix is lengthened by at least as much, so l is chosen for each node
-   by the estimated cost of its candidates, and pairs need at least the smaller l of both before they are
-   verified. Pairs meet only at a token that may be their first common one: in both nodes as many tokens
+   by the estimated cost of its candidates, and pairs need at least the smaller l of both before their whole
+   sets are fetched and verified. Pairs meet only at a token that may be their first common one: in both nodes as many tokens
    as the least overlap of their two sizes must follow from it on. Any order and any l give the same links;
    they only change the work.
 4. Big groups don't grow pairs. Each token links its nodes to one hub of like size first, and the links found
@@ -125,14 +125,21 @@ def only(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> Data
     return docs.join(right, docs[key] == right[right.columns[0]], how)
 
 
+def sharing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lengthened prefixes share as many tokens as the smaller l of both. Only prefixes are joined
+    to the pairs here, so a pair that fails costs no whole set."""
+    prefix = sets.select("doc", "l", F.expr("slice(tokens, 1, CAST(least + l - 1 AS INT))").alias("p"))
+    met = pairs.join(prefix.alias("sa"), F.expr("a = sa.doc")).join(prefix.alias("sb"), F.expr("b = sb.doc"))
+    return met.filter("size(array_intersect(sa.p, sb.p)) >= least(sa.l, sb.l)").select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that share l prefix tokens and whose sets reach the threshold. All that two sets have
     in common is in ``tokens``."""
-    prefix = "slice({0}.tokens, 1, CAST({0}.least + {0}.l - 1 AS INT))"
-    enough = f"size(array_intersect({prefix.format('sa')}, {prefix.format('sb')})) >= least(sa.l, sb.l)"
     common = "size(array_intersect(sa.tokens, sb.tokens))"
-    met = pairs.join(sets.alias("sa"), F.expr("a = sa.doc")).join(sets.alias("sb"), F.expr("b = sb.doc"))
-    return checkpointed(met.filter(f"{enough} AND {common} * {DEN} >= (sa.n + sb.n - {common}) * {NUM}").select("a", "b"))
+    whole = sets.select("doc", "n", "tokens")
+    met = checkpointed(sharing(pairs, sets)).join(whole.alias("sa"), F.expr("a = sa.doc")).join(whole.alias("sb"), F.expr("b = sb.doc"))
+    return checkpointed(met.filter(f"{common} * {DEN} >= (sa.n + sb.n - {common}) * {NUM}").select("a", "b"))
 
 
 def fingerprinted_sets(docs: DataFrame) -> DataFrame:
