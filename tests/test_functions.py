@@ -94,3 +94,16 @@ def test_quantile_bins_fit_elsewhere(spark):
 def test_fixed_width_never_cuts(spark):
     got = one(spark, [("7",), ("123456",)], "s string", [codes.fixed_width("s", 4).alias("f"), F.lit(1).alias("x")])
     assert [g[0] for g in got] == ["0007", "123456"]
+
+
+def test_glued_weather_codes(spark):
+    texts = {
+        None: [], "": [], " ": [], "+": [], "A": [], "+TSRAGR": ["GR", "RA", "TS", "TSRA"], "-shra br": ["BR", "RA", "SH", "SHRA"], "RA +SN": ["RA"], "FZRAPLX": ["FZ", "FZRA", "PL", "RA"],
+        "PRFG12": ["FG", "PR", "PRFG"], "RA1SN": ["RA"], "XXTSRA": ["RA", "TS", "XX"], "TS TS": ["TS"],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "w string")
+    got = {r["w"]: r["c"] for r in df.select("w", codes.weather_code_set("w").alias("c")).collect()}
+    assert got == texts
+    flags = {r["w"]: r for r in df.withColumns(codes.weather_conditions("w")).collect()}
+    assert (flags["+TSRAGR"]["parsed_intensity"], flags["+TSRAGR"]["parsed_thunderstorm"], flags["+TSRAGR"]["parsed_freezing"]) == ("HEAVY", 1, 0)
+    assert (flags["FZRAPLX"]["parsed_freezing"], flags[None]["parsed_precipitation"], flags[None]["parsed_intensity"]) == (1, 0, "MODERATE")

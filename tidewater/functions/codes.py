@@ -92,6 +92,34 @@ def weather_type_features(c: str) -> dict[str, Column]:
     }
 
 
+#: Pairs of weather codes that count as one when a group begins with them.
+COMPOSITES = [
+    "TSRA", "TSSN", "TSDZ", "TSPL", "TSGR", "TSGS", "SHRA", "SHSN", "SHGR", "SHGS", "FZRA", "FZDZ", "FZFG", "FZBR", "BLSN", "BLDU", "BLSA", "DRDU", "DRSA", "DRSN",
+    "BCFG", "MIFG", "PRFG", "VCFG", "VCSH", "VCTS", "RAGR", "RAGS", "RASN", "RAPL", "SNRA", "SNPL", "SNGS", "PLRA", "PLSN", "GSRA", "GRRA",
+]
+
+
+def weather_code_set(c: str) -> Column:
+    """UDF-03: the distinct codes of a weather text, sorted: of each group between blanks (without a sign before the
+    first) its letters two by two, pairs that aren't two letters left out, and the composite that it begins with, if it
+    does. Null, blank and odd single letters have none."""
+    groups = F.split(F.trim(F.upper(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "^[+-]", ""))), r"\s+")
+    pairs = lambda g: F.filter(F.regexp_extract_all(g, F.lit("(..)")), lambda x: x.rlike("^[A-Z]{2}$"))
+    whole = lambda g: F.filter(F.array(F.substring(g, 1, 4)), lambda x: x.isin(COMPOSITES))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(groups, lambda g: F.concat(whole(g), pairs(g))))))
+
+
+def weather_conditions(c: str) -> dict[str, Column]:
+    """UDF-03: the old parser's view of a weather text: intensity by the sign, and flags by its codes."""
+    codes, s = weather_code_set(c), F.trim(F.col(c))
+    any_of = lambda *some: flag(F.arrays_overlap(codes, F.array(*map(F.lit, some))))
+    return {
+        "parsed_codes": codes, "parsed_intensity": F.when(s.startswith("+"), "HEAVY").when(s.startswith("-"), "LIGHT").otherwise("MODERATE"),
+        "parsed_thunderstorm": any_of("TS"), "parsed_freezing": any_of("FZ", "FZRA", "FZDZ", "FZFG", "FZBR"), "parsed_precipitation": any_of(*GROUPS["precipitation"]),
+        "parsed_obscuration": any_of(*GROUPS["obscuration"], "PY"), "parsed_hazard": any_of("DS", "SS", "FC", "SQ", "PO"),
+    }
+
+
 def icing_features(weather: str, temperature: str, dew_point: str) -> dict[str, Column]:
     """FN-43."""
     s, t = F.col(weather), F.col(temperature)

@@ -190,6 +190,24 @@ def weather_codes(spark, d):
     return x.select("event_id", "weather_intensity", "has_thunderstorm", "has_precipitation", "has_fog_mist", "extracted_codes", "hazard_level", "icing_risk_flag", "icing_risk_level")
 
 
+WEATHERS = ["+TSRAGR", "-SHRA BR", "FZFG", "RASN", "RA", "", "-FZRAPL HZ", "BLSNX", "vcts +ra", "  ", "PRFG12", "TSRA TSRA SQ", "A", "-", "GRRAFC PY"]
+LISTED = ", ".join(f"'{x}'" for x in codes.COMPOSITES)
+
+
+@query(f"""WITH x AS (SELECT event_id, CASE WHEN event_id % 16 < 15 THEN {WEATHERS}[event_id % 16 + 1] END AS w FROM events), g AS (SELECT event_id, w, unnest(string_split_regex(trim(upper(regexp_replace(coalesce(w, ''), '^[+-]', ''))), '\\s+')) AS g FROM x),
+c AS (SELECT event_id, unnest(list_concat(list_filter(regexp_extract_all(g, '..'), lambda p: regexp_matches(p, '^[A-Z]{{2}}$')), list_filter([substr(g, 1, 4)], lambda p: p IN ({LISTED})))) AS code FROM g),
+s AS (SELECT event_id, list_sort(list(DISTINCT code)) AS found FROM c GROUP BY 1)
+SELECT x.event_id, coalesce(array_to_string(found, ','), '') AS parsed_codes, CASE WHEN trim(w) LIKE '+%' THEN 'HEAVY' WHEN trim(w) LIKE '-%' THEN 'LIGHT' ELSE 'MODERATE' END AS parsed_intensity,
+  CAST(coalesce(list_has_any(found, ['TS']), false) AS INT) AS parsed_thunderstorm, CAST(coalesce(list_has_any(found, ['FZ']), false) AS INT) AS parsed_freezing,
+  CAST(coalesce(list_has_any(found, ['RA', 'DZ', 'SN', 'GR', 'GS', 'PL', 'SG', 'IC', 'UP']), false) AS INT) AS parsed_precipitation, CAST(coalesce(list_has_any(found, ['BR', 'FG', 'FU', 'HZ', 'DU', 'SA', 'VA', 'PY']), false) AS INT) AS parsed_obscuration,
+  CAST(coalesce(list_has_any(found, ['DS', 'SS', 'FC', 'SQ', 'PO']), false) AS INT) AS parsed_hazard FROM x LEFT JOIN s ON s.event_id = x.event_id""")
+def composite_codes(spark, d):
+    """UDF-03: glued weather codes taken apart, and the flags that follow."""
+    e = table(spark, d, "events").select("event_id", F.get(F.array(*map(F.lit, WEATHERS)), F.pmod("event_id", F.lit(16)).cast("int")).alias("weather"))
+    made = codes.weather_conditions("weather")
+    return clean.with_columns(e, made).select("event_id", F.array_join("parsed_codes", ",").alias("parsed_codes"), *list(made)[1:])
+
+
 def _case(tbl: dict) -> str:
     return "CASE " + " ".join(f"WHEN event_id % 100 IN ({', '.join(map(str, v))}) THEN '{k}'" for k, v in tbl.items()) + " ELSE '{}' END"
 
