@@ -87,3 +87,11 @@ def test_decontamination_judges_each_row(spark, corpus):
     rows = [(None, f"some words {item} and more"), (None, "clean"), (5, f"{item}"), (5, "clean too"), (6, None), (7, "")]
     got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), d).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[k] for k in (1, 3, 4, 5)]))
+
+
+def test_no_stage_tables_are_left(spark, tmp_path, monkeypatch):
+    """Only the product stays: token files, and what the session's own cleaner takes (checkpoints)."""
+    monkeypatch.setattr("tidewater.llm.common.shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["pipeline", "tokens"]]

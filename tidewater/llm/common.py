@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +47,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again. Cuts the lineage like a
-    checkpoint, but columnar and compressed, so wide tables stay small and columns can be pruned."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+_stage: ContextVar[str | None] = ContextVar("stage", default=None)
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[str]:
+    """Within it, tables made by ``stored`` go into one folder, which is deleted at the end: for callers of operators that
+    have written the result elsewhere by then. Its name is the context's value."""
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    before = _stage.set(path)
+    try:
+        yield path
+    finally:
+        _stage.reset(before)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, codec: str = "snappy", folder: str | None = None) -> DataFrame:
+    """``df`` written as Parquet into the shared folder (or that of ``stage_tables``, or the one named) and read again. Cuts
+    the lineage like a checkpoint, but columnar and compressed, so wide tables stay small and columns can be pruned."""
+    path = f"{folder or _stage.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

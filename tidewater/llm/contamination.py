@@ -135,7 +135,10 @@ class Matcher:
 
 
 def item_blocks(items: DataFrame) -> Iterator[tuple[bool, list]]:
-    """Whether it is the last, and the rows of (item_id, text), at most about ``ITEMS_PER_PASS`` at a time; one block at least."""
+    """Whether it is the last, and the rows of (item_id, text) with how often each occurs, at most about
+    ``ITEMS_PER_PASS`` at a time; one block at least. Equal items are one row, so a block's bound holds for them too; a
+    single item is never cut, whatever its length."""
+    items = items.groupBy("item_id", "text").agg(F.count("*").alias("times"))
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // ITEMS_PER_PASS), -(-chars // CHARS_PER_PASS))
     for k in range(blocks):
@@ -148,7 +151,7 @@ def holds_none(items: list, rate: float):
 
     @F.arrow_udf("boolean")
     def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(items, rate)
+        matcher = Matcher([(i, t) for i, t, _ in items], rate)
         for texts in columns:
             yield pa.array([not (t and matcher.find(t)) for part in parts_of(texts) for t in part.to_pylist()], pa.bool_())
 
@@ -186,9 +189,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_c
     for last, some in item_blocks(items):
 
         def search(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(some, rate)
+            matcher = Matcher([(k, t) for k, (_, t, _) in enumerate(some)], rate)
             for b in in_parts(batches):
-                rows = [(n, *m) for n, t in enumerate(b.column(1).to_pylist()) for m in matcher.find(t)]
+                rows = [(n, some[k][0], *m) for n, t in enumerate(b.column(1).to_pylist()) for k, *m in matcher.find(t) for _ in range(some[k][2])]
                 if rows:
                     at, item, distance, start, end = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(

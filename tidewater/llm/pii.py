@@ -162,7 +162,7 @@ def bootstrap(spots: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confide
         known = pairs.join(beliefs, "token").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("k"))
         scored = known.filter(F.col("k") >= min_seeds).join(sizes, "pattern")
         patterns = scored.select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("confidence")).filter(F.col("confidence") >= min_confidence)
-        fresh = pairs.filter("seed IS NULL").join(patterns, "pattern").groupBy("token").agg(F.max_by("kind", "confidence").alias("kind"), F.max("confidence").alias("belief"))
+        fresh = pairs.filter("seed IS NULL").join(patterns, "pattern").groupBy("token").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("belief"))
         seeds = pairs.filter("seed IS NOT NULL").select("token", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
         beliefs = seeds.unionByName(fresh)
     return patterns

@@ -160,8 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, l
     about ``per_label`` documents of each label by a hash of the id, which also bounds what is broadcast.
     A fragment is telling from a bound on that relates to the most telling one and to how many toxic documents
     there are, so few labels give a machine too; equal ones go by their letters. Spark counts the documents of each label that hold a fragment; what comes to the driver is bounded:
-    associated fragments, a background by hash (``BACKGROUND`` at most), and the sentences of the sample
-    that hold an associated fragment."""
+    associated fragments (the ``4 * landmarks`` most telling), a background by hash (``BACKGROUND`` at most), and of the
+    sample's sentences that hold an associated fragment ``8 * per_label`` by hash. These bound what is learned from,
+    never what is scored. The labels of the sample are broadcast uncounted: the rate bounds them in expectation."""
     labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
