@@ -1,7 +1,8 @@
 """From raw documents to token files: five stages, each over all that the one before kept.
 
 ``run`` writes every stage's rows into the shared folder and reads them again for the next, so a lost
-executor costs at most one stage's tasks, and deletes a stage's rows once the next ones are written. SQL has no support vector machines, so there is no SQL for the
+executor costs at most one stage's tasks, and deletes a stage's rows and all tables of its operators once the next
+rows are written. SQL has no support vector machines, so there is no SQL for the
 whole run (``ORACLE_SQL`` is None); tests hold each stage against a brute-force version.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import contamination, language, mixing, ngram_join, token_files
-from tidewater.llm.common import checkpointed, crc_mod, drop_stored, shared_dir, stored
+from tidewater.llm.common import checkpointed, crc_mod, drop_stored, shared_dir, stage_tables, stored
 
 ORACLE_SQL = None
 
@@ -77,10 +78,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with stage_tables(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", folder=shared_dir(spark))
         if before is not None:
             drop_stored(before)
         before = docs
-    found = STAGES[-1][1](spark, docs, sf_dir)  # has written its files by now
+    with stage_tables(spark):
+        found = STAGES[-1][1](spark, docs, sf_dir)  # has written its files by now
     drop_stored(docs)
     return found
