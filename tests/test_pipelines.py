@@ -163,7 +163,8 @@ def test_stream(spark, tmp_path):
 
 
 def test_selection_against_sparks_own_tests(spark):
-    from pyspark.ml.stat import ANOVATest, ChiSquareTest
+    import numpy as np
+    from pyspark.ml.stat import ChiSquareTest
 
     from tidewater.ml import selection
 
@@ -175,10 +176,19 @@ def test_selection_against_sparks_own_tests(spark):
     names = ["label", "a", "b", "one", "u", "v", "w"]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
     found = {r["column"]: r for r in selection.tests(df, ["a", "b", "one"], ["u", "v", "w"], "label").collect()}
-    for test, columns, statistic in ((ChiSquareTest, ["a", "b"], "statistic"), (ANOVATest, ["u", "v", "w"], "fValue")):
-        points = df.select("label", features.array_to_vector(training.F.array(*columns)).alias("features"))
-        for c, r in zip(columns, test.test(points, "features", "label", True).orderBy("featureIndex").collect(), strict=True):
-            assert found[c]["statistic"] == pytest.approx(r[statistic], rel=1e-9) and found[c]["p"] == pytest.approx(r["pValue"], rel=1e-6, abs=1e-12)
+    points = df.select("label", features.array_to_vector(training.F.array("a", "b")).alias("features"))
+    for c, r in zip(["a", "b"], ChiSquareTest.test(points, "features", "label", True).orderBy("featureIndex").collect(), strict=True):
+        assert found[c]["statistic"] == pytest.approx(r["statistic"], rel=1e-9) and found[c]["p"] == pytest.approx(r["pValue"], rel=1e-6, abs=1e-12)
+    x = np.array(rows)
+    for k, c in enumerate(["u", "v", "w"], 4):
+        groups = [x[x[:, 0] == y, k] for y in (0, 1, 2)]
+        between = sum(len(g) * (g.mean() - x[:, k].mean()) ** 2 for g in groups) / 2
+        ratio = between / (sum(((g - g.mean()) ** 2).sum() for g in groups) / 397)
+        assert found[c]["statistic"] == pytest.approx(ratio, rel=1e-9) and found[c]["p"] == pytest.approx((1 + 2 * ratio / 397) ** (-397 / 2), rel=1e-6)  # closed form for 2 degrees
+    for a, b in ((0.5, 3.0), (4.0, 2.5), (60.0, 1.0)):
+        t = (np.arange(200_000) + 0.5) / 200_000
+        density = t ** (a - 1) * (1 - t) ** (b - 1)
+        assert selection.beta_share(a, b, 0.4) == pytest.approx(density[t < 0.4].sum() / density.sum(), abs=2e-3)
     assert (found["one"]["statistic"], found["one"]["p"]) == (0.0, 1.0)
     tested = selection.tests(df, ["a", "b", "one"], ["u", "v", "w"], "label")
     p = sorted((r["p"], c) for c, r in found.items())
@@ -190,3 +200,18 @@ def test_selection_against_sparks_own_tests(spark):
     assert selection.tests(df.limit(0), ["a"], ["u"], "label").count() == 0
     nulls = spark.createDataFrame([(1, None, 1.0), (0, "x", None), (1, "x", 2.0), (None, "x", 3.0), (0, None, 2.0)], "label int, c string, n double")
     assert {r["column"]: r["statistic"] for r in selection.tests(nulls, ["c"], ["n"], "label").collect()}["c"] == pytest.approx(0.0)
+
+
+def test_measures_in_one_pass(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice("ab"), rnd.choice([0, 1]), rnd.choice([0.0, 0.25, 0.5, 0.75, 1.0, rnd.random()]), float(rnd.random() < 0.5)) for _ in range(500)] + [("c", 1, 0.5, 1.0)]
+    df = spark.createDataFrame(rows, "g string, label int, p1 double, prediction double")
+    for group, r in {r["g"]: r for r in training.evaluate(df, by=["g"], bins=1 << 20).collect()}.items():
+        some = df.filter(training.F.col("g") == group)
+        assert tuple(r[c] for c in training.CELLS) == tuple(training.confusion(some).first())
+        if group == "c":
+            assert r["auc_roc"] is None and r["auc_pr"] is None
+            continue
+        want = training.areas(some.withColumn("rawPrediction", training.F.col("p1")))
+        assert r["auc_roc"] == pytest.approx(want["auc_roc"], abs=1e-4) and r["auc_pr"] == pytest.approx(want["auc_pr"], abs=0.02)
+    assert training.evaluate(df.limit(0)).first()["f1"] == 0.0

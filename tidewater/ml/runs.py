@@ -126,11 +126,7 @@ def model_run(train: DataFrame, test: DataFrame, folder: str, spec: FeatureSpec,
 
     step, predictions = a.table("predictions", (fitted, held), predict)
 
-    def measures() -> DataFrame:
-        cells = training.metrics(training.confusion(predictions, by=["part"]))
-        return cells.join(training.areas_by(predictions, ["part"]), "part", "left")
-
-    _, measured_parts = a.table("measures", (step,), measures)
+    _, measured_parts = a.table("measures", (step,), lambda: training.evaluate(predictions, by=["part"]))
     _, curve = a.table("roc", (step,), lambda: training.roc(predictions.filter("part = 'test'")))
     _, weights = a.table("importances", (fitted,), lambda: training.importances(spark, final))
     return RunResult(a, best, measured, cv, predictions, measured_parts, weights, curve, final, extractor)

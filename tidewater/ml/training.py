@@ -75,23 +75,26 @@ def areas(predictions: DataFrame, label: str = "label") -> dict[str, float]:
     return {"auc_roc": e.evaluate(predictions, {e.metricName: "areaUnderROC"}), "auc_pr": e.evaluate(predictions, {e.metricName: "areaUnderPR"})}
 
 
-def areas_by(predictions: DataFrame, by: list[str], score: str = "p1", label: str = "label", bins: int = 10_000) -> DataFrame:
-    """ML-30: (by, auc_roc, auc_pr) of every group at once. Scores count by bin of the unit interval, so a group's
-    running sums are over ``bins`` rows at most; scores of one bin count as equal. Areas by trapezoids (ROC) and steps
-    (average precision); a group without both classes has none (null)."""
-    s = F.floor(F.col(score) * bins)
-    per = predictions.groupBy(*by, s.alias("_bin")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) != 1, 1)).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("_bin"))
-    run = per.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
-    area = F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2))
-    precision = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    both = F.nullif(F.sum("p") * F.sum("n"), F.lit(0))
-    return run.groupBy(*by).agg((area / both).alias("auc_roc"), F.when(both.isNotNull(), precision / F.sum("p")).alias("auc_pr"))
-
-
-def evaluate(predictions: DataFrame, label: str = "label") -> DataFrame:
-    a = areas(predictions, label)
-    return metrics(confusion(predictions, label)).withColumns({k: F.lit(v) for k, v in a.items()})
+CELLS = ["tp", "tn", "fp", "fn"]
+
+
+def evaluate(predictions: DataFrame, label: str = "label", by: list[str] | None = None, score: str = "p1", bins: int = 10_000) -> DataFrame:
+    """ML-29, ML-30: cells, measures, auc_roc and auc_pr (of every group, if there are any), in one pass: rows count by bin
+    of the score and by cell, and all else follows from at most ``bins`` rows a group. Scores of one bin count as
+    equal; areas are by trapezoids (ROC) and steps (average precision), null where a class is missing. Without
+    ``score`` the second value of ``probability`` is it."""
+    if score not in predictions.columns:
+        predictions = predictions.withColumn(score, vector_to_array("probability")[1])
+    some, y, p = by or [], F.col(label) == 1, F.col("prediction") == 1
+    cells = {"tp": y & p, "tn": ~y & ~p, "fp": ~y & p, "fn": y & ~p}
+    per = predictions.groupBy(*some, F.floor(F.col(score) * bins).alias("_bin")).agg(*[F.count(F.when(c, 1)).alias(k) for k, c in cells.items()])
+    per = per.withColumns({"_p": F.col("tp") + F.col("fn"), "_n": F.col("tn") + F.col("fp")})
+    down = Window.partitionBy(*some).orderBy(F.desc("_bin"))
+    run = per.withColumns({"_tp": F.sum("_p").over(down), "_fp": F.sum("_n").over(down)})
+    both = F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))
+    area, precision = F.sum(F.col("_n") * (F.col("_tp") - F.col("_p") / 2)), F.sum(F.col("_p") * F.col("_tp") / (F.col("_tp") + F.col("_fp")))
+    found = run.groupBy(*some).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CELLS], (area / both).alias("auc_roc"), F.when(both.isNotNull(), precision / F.sum("_p")).alias("auc_pr"))
+    return metrics(found)
 
 
 def train_test_gap(train: DataFrame, test: DataFrame, warn: float = 0.05, alert: float = 0.10) -> DataFrame:
