@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidewater.ml import training
@@ -109,20 +111,30 @@ SELECT CASE WHEN run = 2 THEN part ELSE 'fold ' || run END AS part, count(*) FIL
   count(*) FILTER (label = 0 AND prediction = 1) AS fp, count(*) FILTER (label = 1 AND prediction = 0) AS fn FROM z GROUP BY 1"""
 
 
-@query(STUMP_SQL)
-def model_run_cells(spark, d):
-    """PIP-05, PIP-03, PIP-04, ML-01, ML-02, ML-10, ML-20, ML-24, ML-26, ML-28, ML-29: a whole stored run of a tree of
-    one split, which SQL can fit too: the cells of each fold, and those of both parts, counted in the stored predictions."""
+def stump_parts(spark, d):
     some = flights(spark, d)
     by_weather = F.col("WEATHER_DELAY").isNotNull()
     some = some.withColumns({"WEATHER_DELAY": F.when(by_weather & (F.col("CRS_DEP_TIME") >= 1600), F.col("ARR_DELAY_NEW")), "NAS_DELAY": F.when(~by_weather, F.greatest(F.lit(0.0), F.col("ARR_DELAY_NEW") - 80))})
     f, w = pipelines.data_pipeline(some, weather(spark, d), airports(spark, d), [STUMP], scratch(spark, "prepared"))
-    train, test = (write_once(spark, x) for x in pipelines.feature_pipeline(f, w, STUMP))
-    folder = scratch(spark, "run")
-    done = pipelines.ml_pipeline(train, test, STUMP, folder)
-    cells = ["tp", "tn", "fp", "fn"]
-    folds = done.candidates.select(F.concat(F.lit("fold "), F.col("fold").cast("string")).alias("part"), *cells)
-    return folds.unionByName(training.confusion(done.predictions, by=["part"]).select("part", *cells))
+    return [write_once(spark, x) for x in pipelines.feature_pipeline(f, w, STUMP)]
+
+
+@query(STUMP_SQL)
+def model_run_cells(spark, d):
+    """PIP-05, PIP-03, PIP-04, ML-01, ML-02, ML-10, ML-20, ML-24, ML-26, ML-28, ML-29: a whole stored run of a tree of
+    one split, which SQL can fit too: the cells of each fold, and those of both parts, counted in the stored predictions."""
+    done = pipelines.ml_pipeline(*stump_parts(spark, d), STUMP, scratch(spark, "run"))
+    folds = done.candidates.select(F.concat(F.lit("fold "), F.col("fold").cast("string")).alias("part"), *training.CELLS)
+    return folds.unionByName(training.confusion(done.predictions, by=["part"]).select("part", *training.CELLS))
+
+
+@query(f"SELECT * FROM ({STUMP_SQL}) WHERE part IN ('train', 'test')")
+def boosted_run_cells(spark, d):
+    """ML-21, ML-23, PIP-05 without folds: boosted trees under the other library's parameter names; one round of one
+    split decides as the best single split does."""
+    boosted = replace(STUMP, model="xgboost", params={"num_round": 1, "max_depth": 1})
+    done = pipelines.ml_pipeline(*stump_parts(spark, d), boosted, scratch(spark, "run"), fast=True)
+    return training.confusion(done.predictions, by=["part"]).select("part", *training.CELLS)
 
 
 def write_once(spark, df):

@@ -167,3 +167,38 @@ def component_invariants(spark, d):
     pairs = [F.abs(F.covar_samp(a, b)) / F.sqrt(F.var_samp(a) * F.var_samp(b)) for i, a in enumerate(p) for b in p[i + 1 :]]
     row = pca.transform(points).agg(F.round(sum(F.var_samp(c) for c in p), 4).alias("variance"), (F.greatest(*pairs) < 1e-6).alias("apart"), F.var_samp(p[0]).alias("first"), F.var_samp(vector_to_array("features")[0]).alias("quantity"))
     return row.select(F.lit(len(pca.shares)).cast("long").alias("components"), "variance", F.round(F.lit(sum(pca.shares)), 9).alias("shares"), "apart", F.when(F.col("first") >= F.col("quantity") * (1 - 1e-9), F.round("quantity", 4)).alias("least_first"))
+
+
+#: The place of each value of a text column: the most frequent is 0, equal ones go by their letters.
+PLACED = "{0}_p AS (SELECT {0}, row_number() OVER (ORDER BY count(*) DESC, {0}) - 1 AS {0}_ix FROM late GROUP BY 1)"
+
+
+def slots(df, keys: list[str], names: list[str], vector: str = "features"):
+    v = vector_to_array(vector)
+    return df.select(*keys, *[F.round(F.get(v, F.lit(i)), 6).alias(n) for i, n in enumerate(names)], F.size(v).cast("long").alias("width"))
+
+
+@query(f"""WITH {LATE}, {PLACED.format('l_returnflag')}, {PLACED.format('o_orderpriority')}, q AS (SELECT *, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS gappy FROM late),
+m AS (SELECT avg(gappy) AS filled, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS sd FROM q)
+SELECT l_orderkey, l_linenumber, l_suppkey, CAST(o_orderpriority_ix AS DOUBLE) AS priority, {', '.join(f'CAST(l_returnflag_ix = {i} AS INT)::DOUBLE AS flag_{i}' for i in range(3))}, 0.0::DOUBLE AS flag_unknown,
+  round(coalesce(gappy, filled), 6) AS quantity, round((l_extendedprice - mean) / sd, 6) AS price, 7::BIGINT AS width FROM q JOIN l_returnflag_p USING (l_returnflag) JOIN o_orderpriority_p USING (o_orderpriority), m""")
+def feature_vectors(spark, d):
+    """ML-01, ML-02, ML-10: text indexed and one-hot encoded, gaps filled with the mean, one number standardized: every
+    slot of every row."""
+    x = late_items(spark, d).withColumns({"label": F.lit(0), "some": F.when(F.col("l_linenumber") != 3, F.col("l_quantity"))})
+    spec = features.FeatureSpec({"o_orderpriority": "StringIndexer", "l_returnflag": "OneHotEncoder", "some": "None", "l_extendedprice": "StandardScaler", "absent": "None"}, "label")
+    made = features.feature_stages(x, spec).fit(x).transform(x)
+    return slots(made, ["l_orderkey", "l_linenumber", "l_suppkey"], ["priority", "flag_0", "flag_1", "flag_2", "flag_unknown", "quantity", "price"])
+
+
+@query(f"""WITH {LATE}, {PLACED.format('l_returnflag')} SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity > 25 AS INT)::DOUBLE AS is_big, l_quantity AS quantity, CAST(l_returnflag_ix AS DOUBLE) AS flag, year(o_orderdate)::DOUBLE AS year, month(o_orderdate)::DOUBLE AS month,
+  day(o_orderdate)::DOUBLE AS day, (dayofweek(o_orderdate) + 1)::DOUBLE AS weekday, epoch(date_trunc('day', o_orderdate))::DOUBLE AS unix, 8::BIGINT AS width FROM late JOIN l_returnflag_p USING (l_returnflag)""")
+def automatic_vectors(spark, d):
+    """ML-03, ML-04, ML-05, FN-11: stages chosen by column type: a boolean and a number, text indexed, few values indexed
+    again in the vector, and the parts of a date left continuous: every slot of every row."""
+    from pyspark.ml import Pipeline
+
+    x = late_items(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_quantity") > 25).alias("is_big"), "l_quantity", "l_returnflag", F.to_date("o_orderdate").alias("ordered"), F.lit(0).alias("label"))
+    used = x.drop("l_orderkey", "l_linenumber", "l_suppkey")
+    made = Pipeline(stages=features.auto_stages(used, "label", by_name=False)).fit(x).transform(x)
+    return slots(made, ["l_orderkey", "l_linenumber", "l_suppkey"], ["is_big", "quantity", "flag", "year", "month", "day", "weekday", "unix"])
