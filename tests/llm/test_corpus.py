@@ -326,22 +326,3 @@ def test_kernel():
                 brute[w[i] + w[j] + w[m]] = brute.get(w[i] + w[j] + w[m], 0) + toxicity.DECAY ** (m - i - 2)
     _, _, weights = toxicity.subsequences([w])
     assert sorted(weights.tolist()) == pytest.approx(sorted(brute.values()))
-
-
-def test_lengthened_prefixes_spare_pairs(spark, monkeypatch):
-    """Pairs that come to verification with l forced to 1, and with l as chosen where tokens are common."""
-    rnd = random.Random(8)
-    passages = [[rnd.choice(WORDS) + str(rnd.randrange(900)) for _ in range(30)] for _ in range(4)]
-    texts = [" ".join([w for p in rnd.sample(passages, 3) for w in p] + [rnd.choice(WORDS) + str(rnd.randrange(9)) for _ in range(rnd.choice([6, 40]))]) for _ in range(60)]
-    nodes = frame(spark, list(enumerate(texts))).select("doc_id", "text")
-    pairs = spark.createDataFrame([(i, j) for i in range(60) for j in range(i)], "a long, b long")
-    sets = [shingle_set(t) for t in texts]
-    links = {(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
-    met = []
-    for extra, costly in ((0, 48), (15, 0.5)):
-        monkeypatch.setattr(ngram_join, "MAX_EXTRA", extra)
-        monkeypatch.setattr(ngram_join, "COSTLY", costly)
-        made = ngram_join.ordered_sets(nodes)
-        met.append({(r["a"], r["b"]) for r in ngram_join.sharing(pairs, made).collect()})
-        assert links <= met[-1] and {(r["a"], r["b"]) for r in ngram_join.verified(pairs, made).collect()} == links
-    assert links and len(met[1]) < len(met[0])
