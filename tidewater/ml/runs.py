@@ -122,7 +122,7 @@ def model_run(train: DataFrame, test: DataFrame, folder: str, spec: FeatureSpec,
     def predict() -> DataFrame:
         both = points.drop("fold").withColumn("part", F.lit("train")).unionByName(test_points.withColumn("part", F.lit("test")))
         scored = final.transform(both)
-        return scored.select("part", *keys, F.col("label"), training.vector_to_array("probability")[1].alias("p1"), "prediction")
+        return scored.select("part", *keys, F.col("label"), training.positive_share().alias("p1"), "prediction")
 
     step, predictions = a.table("predictions", (fitted, held), predict)
 

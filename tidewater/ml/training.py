@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.sampling import unit, with_fold
@@ -69,6 +69,11 @@ def metrics(cells: DataFrame) -> DataFrame:
     })
 
 
+def positive_share(probability: str = "probability") -> Column:
+    """The probability of class 1; 0 of a model that has only met class 0."""
+    return F.coalesce(F.get(vector_to_array(probability), F.lit(1)), F.lit(0.0))
+
+
 def areas(predictions: DataFrame, label: str = "label") -> dict[str, float]:
     """ML-30."""
     e = BinaryClassificationEvaluator(labelCol=label)
@@ -84,7 +89,7 @@ def evaluate(predictions: DataFrame, label: str = "label", by: list[str] | None
     equal; areas are by trapezoids (ROC) and steps (average precision), null where a class is missing. Without
     ``score`` the second value of ``probability`` is it."""
     if score not in predictions.columns:
-        predictions = predictions.withColumn(score, vector_to_array("probability")[1])
+        predictions = predictions.withColumn(score, positive_share())
     some, y, p = by or [], F.col(label) == 1, F.col("prediction") == 1
     cells = {"tp": y & p, "tn": ~y & ~p, "fp": ~y & p, "fn": y & ~p}
     per = predictions.groupBy(*some, F.floor(F.col(score) * bins).alias("_bin")).agg(*[F.count(F.when(c, 1)).alias(k) for k, c in cells.items()])
@@ -108,7 +113,7 @@ def train_test_gap(train: DataFrame, test: DataFrame, warn: float = 0.05, alert:
 
 def score_points(predictions: DataFrame, label: str = "label") -> DataFrame:
     """ML-32, UDF-01: label, probability of class 1, prediction."""
-    return predictions.select(F.col(label).alias("label"), vector_to_array("probability")[1].alias("p1"), "prediction")
+    return predictions.select(F.col(label).alias("label"), positive_share().alias("p1"), "prediction")
 
 
 def roc(points: DataFrame, score: str = "p1", label: str = "label", bins: int | None = 1000) -> DataFrame:
@@ -142,7 +147,7 @@ def tagged_predictions(points: DataFrame, name: str, candidates: list[dict], fol
         for fold in folds:
             model = estimator.fit(points.filter(F.col("fold") != fold).select("features", "label"))
             scored = model.transform(points.filter(F.col("fold") == fold))
-            out.append(scored.select(F.lit(i).alias("candidate"), "fold", "label", vector_to_array("probability")[1].alias("p1"), "prediction", *(keep or [])))
+            out.append(scored.select(F.lit(i).alias("candidate"), "fold", "label", positive_share().alias("p1"), "prediction", *(keep or [])))
     return reduce(DataFrame.unionByName, out)
 
 
