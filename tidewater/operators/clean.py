@@ -167,8 +167,6 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str] | No
     others = [c for c in df.columns if c not in keys]
     if not others:
         return df.distinct()
-    if order is None:
-        best = F.min(F.struct(*others)).alias("_r")
-    else:
-        best = F.min_by(F.struct(*others), F.struct(*order, *others)).alias("_r")
+    first = [(F.col(o) if isinstance(o, str) else o).alias(f"_order{i}") for i, o in enumerate(order or [])]
+    best = F.min(F.struct(*first, *others)).alias("_r")
     return df.groupBy(*keys).agg(best).select(*keys, "_r.*").select(*df.columns)
