@@ -296,6 +296,41 @@ def test_toxicity(spark):
     assert toxicity.score(docs, None).filter("score <> 0").count() == 0
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """4,000 made-up documents, one in ten with disguised or inflected insults, a tenth of them long; and the model of two thirds."""
+    rnd = random.Random(17)
+    made = lambda: "".join(rnd.choice(["er", "an", "th", "in", "ou", "re", "st", "id", "ot", "mo", "cl"]) for _ in range(rnd.randint(2, 5)))
+    disguises = [str, lambda w: w[:2] + "x" + w[2:], lambda w: ".".join(w), lambda w: " ".join(w), lambda w: w[:3] + w[2] + w[3:], lambda w: w.translate(str.maketrans("oie", "013")), lambda w: w + rnd.choice(["er", "ing", "s"])]
+    rows = []
+    for k in range(4000):
+        words = [made() for _ in range(2000 if k % 10 == 3 else 80)]
+        if toxic := k % 10 in (0, 3) and k % 20 < 10:
+            for _ in range(3):
+                words.insert(rnd.randrange(len(words)), rnd.choice(disguises)(rnd.choice(["nitwit", "dunderhead", "blockhead", "numskull"])))
+        rows.append((k, " ".join(words), int(toxic)))
+    learned = spark.createDataFrame([(k, y) for k, _, y in rows if k % 3 != 1], "doc_id long, toxic int")
+    docs = frame(spark, [(k, t) for k, t, _ in rows])
+    return docs, {k: y for k, _, y in rows}, toxicity.fit(docs, learned)
+
+
+def test_disguised_insults_in_thousands_of_documents(many):
+    """Of documents whose labels were not learned, nine in ten toxic ones are caught and one clean one in fifty at most is not left alone."""
+    docs, truth, model = many
+    got = {r["doc_id"]: r["score"] >= 0.7 for r in toxicity.score(docs, model).collect() if r["doc_id"] % 3 == 1}
+    caught = [got[k] for k in got if truth[k]]
+    alarms = [got[k] for k in got if not truth[k]]
+    assert sum(caught) >= 0.9 * len(caught) and sum(alarms) <= 0.02 * len(alarms)
+
+
+def test_evidence_allows_for_length(many):
+    model = many[2]
+    weak, strong = 0.0, float(toxicity.EDGES[-1])
+    short, long = (model.features(np.r_[weak, np.full(n, -2.5)]) for n in (20, 20_000))
+    assert short[0] > long[0] and len(model.features(np.zeros(0))) == toxicity.STRONGEST
+    assert model.features(np.full(5, strong))[0] >= model.features(np.full(5, weak))[0] and np.all(np.diff(model.rarity) >= 0)
+
+
 def test_few_labels_give_a_machine(spark):
     rnd = random.Random(3)
     plain = lambda n: " ".join("".join(rnd.choice(["er", "an", "th", "in", "ou", "re", "st"]) for _ in range(rnd.randint(2, 4))) for _ in range(n))
