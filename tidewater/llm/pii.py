@@ -1,7 +1,7 @@
 """Personal data: base patterns, then bootstrapped contextual extraction.
 
 One pass over the texts finds the base entities (the seeds) and every other identifier-like token (a word
-with a digit, or a run of digit groups), each with its neighbouring words. Spark then scores the bipartite
+with a digit or an at sign, also one spelled out in brackets, or a run of digit groups), each with its neighbouring words. Spark then scores the bipartite
 graph of lexical patterns (the word before or after a place, the two before, the two around) and instances
 (what stands there) in rounds: a pattern is worth the share of its
 distinct instances that are known entities of its kind, an instance the best pattern that extracts it;
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import documents, stored, whole_text
+from tidewater.llm.common import documents, in_parts, stored, whole_text
 from tidewater.llm.secrets import count_of, digest
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -33,6 +33,7 @@ TOKEN = re.compile(r"\S+")
 EDGE = "\"'`.,;:!?()[]{}<>#$%&*|"
 OPENING = EDGE.replace("(", "")
 GROUP = re.compile(r"[(+]*[0-9][0-9+/().-]*")  # a word that may be a group of a longer number
+SIGNED = re.compile(r"@|[(\[{<]at[)\]}>]", re.IGNORECASE)  # what else makes a word identifier-like: an at sign, also a veiled one
 PATTERNS = ["left", "both", "before", "after"]
 
 
@@ -76,9 +77,9 @@ def base_entities(text: str) -> list[tuple[int, int, str]]:
 
 def places(text: str, seeds: list[tuple[int, int, str]], min_len: int) -> list[tuple]:
     """Seeds, several in one word too, and identifier-like tokens that touch no word of a seed: words of
-    ``min_len`` characters or more with a digit, and runs of digit groups parted by single blanks. Each with
+    ``min_len`` characters or more with a digit or an at sign inside, and runs of digit groups parted by single blanks. Each with
     its contexts: (start, end, kind or None, token, left, both, before, after)."""
-    if not seeds and not any(c.isdigit() for c in text):
+    if not seeds and not any(c.isdigit() for c in text) and not SIGNED.search(text):
         return []
     words = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
     starts, spots, taken = [s for s, _ in words], [], set()
@@ -106,7 +107,7 @@ def places(text: str, seeds: list[tuple[int, int, str]], min_len: int) -> list[t
     while i < len(words):
         s, e = words[i]
         core, j = text[s:e].strip(EDGE), i
-        if i not in taken and any(c.isdigit() for c in core):
+        if i not in taken and (any(c.isdigit() for c in core) or SIGNED.search(core)):
             while goes_on(j, j == i):
                 j += 1
             if j > i:
@@ -126,7 +127,7 @@ def find_identifiers(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     spot = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("token", pa.string()), *((p, pa.string()) for p in PATTERNS)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             found, spots = [], []
             for t in b.column(1).to_pylist():
                 seeds = base_entities(t) if t else []
