@@ -91,6 +91,14 @@ def test_quantile_bins_fit_elsewhere(spark):
     assert [g[0] for g in got] == ["low", "moderate", "high", "very_high", "low"]
 
 
+def test_exact_quantile_bins_cut_at_values(spark):
+    for x in ([1.0, 2.0, 3.0, 10.0], [5.0], [1.0, 1.0, 1.0, 2.0, 7.0], list(map(float, range(1000)))):
+        order = sorted(x)
+        cuts = codes.QuantileBins(None).fit(spark.createDataFrame([(v,) for v in x] + [(None,)], "x double"), "x").cuts
+        assert cuts == [order[max(0, -(-len(x) * k // 4) - 1)] for k in (1, 2, 3)]
+    assert codes.QuantileBins(None).fit(spark.createDataFrame([(None,)], "x double"), "x").cuts == [0.0, 0.0, 0.0]
+
+
 def test_fixed_width_never_cuts(spark):
     got = one(spark, [("7",), ("123456",)], "s string", [codes.fixed_width("s", 4).alias("f"), F.lit(1).alias("x")])
     assert [g[0] for g in got] == ["0007", "123456"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.flags import buckets, flag
+from tidewater.operators.ranks import values_at
 
 NO_CEILING = 99999
 
@@ -196,18 +197,22 @@ def pressure_features(tendency: str, change: str) -> dict[str, Column]:
 
 
 class QuantileBins:
-    """FN-50: four bins by quartiles, fitted on one frame (the training set) and applied to any."""
+    """FN-50: four bins by quartiles, fitted on one frame (the training set) and applied to any. Each cut is a value of the column,
+    the one at rank ceil(share * n) from 1: within the relative error, or, without one (None or 0), exactly."""
 
     NAMES = ["low", "moderate", "high", "very_high"]
 
-    def __init__(self, relative_error: float = 1e-3):
+    def __init__(self, relative_error: float | None = 1e-3):
         self.error, self.cuts = relative_error, None
 
     def fit(self, df: DataFrame, c: str) -> QuantileBins:
-        accuracy = F.lit(int(1 / self.error)) if self.error else None
-        q = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-        row = df.agg((F.percentile_approx(c, q, accuracy) if accuracy is not None else F.percentile(c, q)).alias("q")).first()
-        self.cuts = row["q"] or [0.0, 0.0, 0.0]
+        shares = [0.25, 0.5, 0.75]
+        if self.error:
+            found = df.agg(F.percentile_approx(c, F.array(*map(F.lit, shares)), F.lit(int(1 / self.error))).alias("q")).first()["q"]
+        else:
+            at = values_at(df, c, shares=shares, between=False)
+            found = [at[p] for p in shares] if at else None
+        self.cuts = found or [0.0, 0.0, 0.0]
         return self
 
     def column(self, c: str | Column) -> Column:

@@ -3,6 +3,8 @@ and narrowed until few rows are left in them, and only those are ordered."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,18 @@ MAX_ORDERED = 1_000_000  # rows of a bracket that one task orders, by distinct v
 ACCURACY = 10_000  # of the sketch: a bracket holds about 4 / ACCURACY of the rows before
 
 
-def values_at(df: DataFrame, c: str, ranks: list[int] | None = None, shares: list[float] | None = None) -> dict:
+def values_at(df: DataFrame, c: str, ranks: list[int] | None = None, shares: list[float] | None = None, between: bool = True) -> dict:
     """The value at each rank (from 0, in ascending order without nulls), or, with ``shares``, the quantile at
-    each, between two ranks by linear interpolation. Empty without values; NaN counts as the largest."""
+    each, between two ranks by linear interpolation, or, without ``between``, the least value that at least such a share of
+    rows doesn't exceed. Empty without values; NaN counts as the largest."""
     v = df.select(F.col(c).cast("double").alias("v")).filter("v IS NOT NULL")
     n, least, most = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
     if not n:
         return {}
+    if shares is not None and not between:
+        at = {p: max(0, math.ceil(p * n) - 1) for p in shares}
+        found = values_at_ranks(v, n, least, most, sorted(set(at.values())))
+        return {p: found[r] for p, r in at.items()}
     if shares is not None:
         places = {p: p * (n - 1) for p in shares}
         found = values_at_ranks(v, n, least, most, sorted({k for x in places.values() for k in (int(x), min(n - 1, int(x) + 1))}))
