@@ -6,8 +6,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tidewater.plans import registry
+from tidewater.plans import models, registry
 
 DATA = "/root/testdata/sf0.001"
 registry.load()
@@ -46,3 +47,19 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["logistic_cross_validation", "feature_tests", "forest_holdout", "boosted_importances", "components_by_variance", "feature_vectors", "automatic_vectors", "automatic_features", "logistic_odds"])
+def test_joins_once(spark, monkeypatch, name):
+    """Fits and tests take many passes; the join that they start from is made in one of them only."""
+    made, joined = spark.sparkContext.accumulator(0), models.late_items
+
+    def counts(_):
+        made.add(1)
+        return True
+
+    met = F.udf(counts, "boolean").asNondeterministic()
+    monkeypatch.setattr(models, "late_items", lambda s, d: joined(s, d).filter(met("l_orderkey")))
+    registry.QUERIES[name](spark, DATA).collect()
+    assert made.value == joined(spark, DATA).count()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.sampling import unit, with_fold
+from tidewater.sources import stored
 
 #: Names of a model.
 ALIASES = {"rf": "randomforest", "random_forest": "randomforest", "gradientboostedtrees": "gbt", "gradient_boosted_trees": "gbt", "lr": "logisticregression", "logistic_regression": "logisticregression", "xgb": "xgboost"}
@@ -164,10 +165,12 @@ def best_candidate(measured: DataFrame, candidates: list[dict], metric: str = "f
 
 def cross_validate(df: DataFrame, name: str, values: dict[str, list] | None = None, k: int = 5, keys: list[str] | None = None, seed: int = 42, metric: str = "f1", **params) -> tuple[dict, DataFrame]:
     """ML-26: the best parameters of the grid and the measures of each candidate and fold, over folds by a hash of
-    the row (``keys``, else label and features), which don't depend on partitions."""
+    the row (``keys``, else label and features), which don't depend on partitions. Points with their folds are stored, since
+    every fit and prediction reads them, and so are the measures: a row per candidate and fold."""
     keyed, by = _keyed(df, keys)
     candidates = grid_maps(values or {})
-    measured = candidate_metrics(tagged_predictions(with_fold(keyed, k, by, seed), name, candidates, list(range(k)), seed, params))
+    points = stored(with_fold(keyed, k, by, seed).select("features", "label", "fold"), "folds")
+    measured = stored(candidate_metrics(tagged_predictions(points, name, candidates, list(range(k)), seed, params)), "fold-measures")
     return best_candidate(measured, candidates, metric), measured
 
 
@@ -175,8 +178,8 @@ def validate_once(df: DataFrame, name: str, values: dict[str, list] | None = Non
     """ML-27: the same over one split: fold 1 is the validation set, the rest (``ratio``) trains every candidate."""
     keyed, by = _keyed(df, keys)
     candidates = grid_maps(values or {})
-    marked = keyed.withColumn("fold", (unit(by, seed, "validation") >= ratio).cast("int"))
-    measured = candidate_metrics(tagged_predictions(marked, name, candidates, [1], seed, params))
+    marked = stored(keyed.withColumn("fold", (unit(by, seed, "validation") >= ratio).cast("int")).select("features", "label", "fold"), "folds")
+    measured = stored(candidate_metrics(tagged_predictions(marked, name, candidates, [1], seed, params)), "fold-measures")
     return best_candidate(measured, candidates, metric), measured
 
 
