@@ -1,7 +1,7 @@
 """Univariate tests of features against a label and the selections made of them (ML-08, ML-09).
 
-Contingency tables and moments by group are grouped aggregates over (column, value) rows, so all columns take one
-pass and no column is gathered. What comes to the driver is one row per column: its statistic and degrees of
+Contingency tables and moments by group are grouped aggregates over (column, value) rows, so all columns of both kinds take
+one pass of the input and no column is gathered; the groups are stored, since a test reads them more than once. What comes to the driver is one row per column: its statistic and degrees of
 freedom, of which the probability is computed there.
 """
 
@@ -12,22 +12,31 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources import stored
 
-def _pairs(df: DataFrame, columns: list[str], label: str, kind: str) -> DataFrame:
-    """(column, value, label) of rows with a label; null values are a value of their own as text, and left out as numbers."""
-    some = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(kind).alias("value")) for c in columns])
-    return df.filter(F.col(label).isNotNull()).select(F.explode(some).alias("x"), F.col(label).alias("label")).select("x.*", "label")
+
+def grouped(df: DataFrame, categorical: list[str], numeric: list[str], label: str) -> DataFrame:
+    """(test, column, value, label, n, numbers, mean, variance) of rows with a label, in one pass of them: how often each value of
+    each categorical column meets each label (null is a value of its own), and the numbers of each numeric column by label."""
+    as_text = [F.struct(F.lit("chi2").alias("test"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"), F.lit(None).cast("double").alias("number")) for c in categorical]
+    as_number = [F.struct(F.lit("anova").alias("test"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("value"), F.col(f"`{c}`").cast("double").alias("number")) for c in numeric]
+    pairs = df.filter(F.col(label).isNotNull()).select(F.explode(F.array(*as_text, *as_number)).alias("x"), F.col(label).alias("label")).select("x.*", "label")
+    return pairs.groupBy("test", "column", "value", "label").agg(F.count("*").alias("n"), F.count("number").alias("numbers"), F.avg("number").alias("mean"), F.var_pop("number").alias("variance"))
 
 
 def contingency(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(column, value, label, n): how often each value of each column meets each label."""
-    return _pairs(df, columns, label, "string").groupBy("column", "value", "label").agg(F.count("*").alias("n"))
+    return grouped(df, columns, [], label).select("column", "value", "label", "n")
 
 
 def chi_square(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(column, statistic, dof): Pearson's test of independence. A column or label of one value has statistic 0 and no
     freedom. Cells without rows need no row: the sum over all cells is n * (sum of o^2 / (row * column) - 1)."""
-    cells = contingency(df, columns, label)
+    return chi_square_of(stored(contingency(df, columns, label), "cells"))
+
+
+def chi_square_of(cells: DataFrame) -> DataFrame:
+    """The same of a contingency table, which it reads several times."""
     by_value = cells.groupBy("column", F.col("value").alias("_v")).agg(F.sum("n").alias("_r"))
     by_label = cells.groupBy("column", F.col("label").alias("_l")).agg(F.sum("n").alias("_c"))
     met = cells.alias("x").join(by_value.alias("v"), F.expr("x.column = v.column AND x.value <=> v._v"))
@@ -42,7 +51,12 @@ def chi_square(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 def anova(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(column, statistic, dof_between, dof_within): the F statistic of a number by label; null without freedom, infinite
     where groups differ and vary nowhere."""
-    groups = _pairs(df, columns, label, "double").filter("value IS NOT NULL").groupBy("column", "label").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    return anova_of(stored(grouped(df, [], columns, label), "groups"))
+
+
+def anova_of(found: DataFrame) -> DataFrame:
+    """The same of the groups of ``grouped``, which it reads twice. A null is no number."""
+    groups = found.filter("test = 'anova' AND numbers > 0").select("column", "label", F.col("numbers").alias("n"), F.col("mean").alias("m"), F.col("variance").alias("v"))
     whole = groups.groupBy("column").agg(F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.count("*").alias("k"))
     sums = groups.join(whole, "column").groupBy("column", "all", "k").agg(F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("between"), F.sum(F.col("n") * F.col("v")).alias("within"))
     dof1, dof2 = (F.col("k") - 1).cast("long"), (F.col("all") - F.col("k")).cast("long")
@@ -106,13 +120,16 @@ def f_p(statistic: float | None, dof1: int, dof2: int) -> float:
 
 
 def tests(df: DataFrame, categorical: list[str], numeric: list[str], label: str) -> DataFrame:
-    """(column, test, statistic, p): chi-square for categorical columns, analysis of variance for numeric ones."""
+    """(column, test, statistic, p, dof): chi-square for categorical columns, analysis of variance for numeric ones (dof: between
+    groups). One pass of ``df`` for all."""
     rows = []
+    if categorical or numeric:
+        found = stored(grouped(df, categorical, numeric, label), "groups")
     if categorical:
-        rows += [(r["column"], "chi2", r["statistic"], chi_square_p(r["statistic"], r["dof"])) for r in chi_square(df, categorical, label).collect()]
+        rows += [(r["column"], "chi2", r["statistic"], chi_square_p(r["statistic"], r["dof"]), r["dof"]) for r in chi_square_of(found.filter("test = 'chi2'").select("column", "value", "label", "n")).collect()]
     if numeric:
-        rows += [(r["column"], "anova", r["statistic"], f_p(r["statistic"], r["dof_between"], r["dof_within"])) for r in anova(df, numeric, label).collect()]
-    return df.sparkSession.createDataFrame(rows, "column string, test string, statistic double, p double")
+        rows += [(r["column"], "anova", r["statistic"], f_p(r["statistic"], r["dof_between"], r["dof_within"]), r["dof_between"]) for r in anova_of(found).collect()]
+    return df.sparkSession.createDataFrame(rows, "column string, test string, statistic double, p double, dof long")
 
 
 def selected(tested: DataFrame, mode: str = "fpr", threshold: float = 0.05) -> DataFrame:

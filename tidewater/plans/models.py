@@ -121,8 +121,7 @@ def feature_tests(spark, d):
     of false positives keeps (SQL: by the critical values)."""
     x = labelled(spark, d)
     found = selection.selected(selection.tests(x, CATEGORIES, NUMBERS, "label"))
-    dof = selection.chi_square(x, CATEGORIES, "label").select("column", "dof").unionByName(selection.anova(x, NUMBERS, "label").select("column", F.col("dof_between").alias("dof")))
-    return found.join(dof, "column").select("column", "test", F.round("statistic", 4).alias("statistic"), "dof", "selected")
+    return found.select("column", "test", F.round("statistic", 4).alias("statistic"), "dof", "selected")
 
 
 def _regression_sql(a: str, b: str, source: str) -> str:
