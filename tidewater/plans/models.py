@@ -51,7 +51,7 @@ def rule_roc(spark, d):
 @query()
 def forest_holdout(spark, d):
     """ML-01, ML-02, ML-10, ML-20, ML-24, ML-29, ML-30: fit on some orders, measure on the others."""
-    x = labelled(spark, d)
+    x = labelled_once(spark, d, "l_orderkey", *SPEC.features)
     train, test = x.filter(F.col("l_orderkey") % 4 != 0), x.filter(F.col("l_orderkey") % 4 == 0)
     e, points = features.extract(train, SPEC)
     model = training.train_final(points, "rf", numTrees=10, maxDepth=4)
