@@ -61,7 +61,7 @@ def forest_holdout(spark, d):
 @query()
 def boosted_importances(spark, d):
     """ML-21, ML-23, SRT-02: boosted trees and their importances."""
-    e, points = features.extract(labelled(spark, d), SPEC)
+    _, points = features.extract(labelled_once(spark, d, *SPEC.features), SPEC)
     return training.importances(spark, training.classifier("xgboost", num_round=5, max_depth=3).fit(points))
 
 
