@@ -193,7 +193,8 @@ SELECT l_orderkey, l_linenumber, l_suppkey, CAST(o_orderpriority_ix AS DOUBLE) A
 def feature_vectors(spark, d):
     """ML-01, ML-02, ML-10: text indexed and one-hot encoded, gaps filled with the mean, one number standardized: every
     slot of every row."""
-    x = late_items(spark, d).withColumns({"label": F.lit(0), "some": F.when(F.col("l_linenumber") != 3, F.col("l_quantity"))})
+    some = F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("some")
+    x = stored(late_items(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", "o_orderpriority", "l_returnflag", some, "l_extendedprice", F.lit(0).alias("label")), "items")
     spec = features.FeatureSpec({"o_orderpriority": "StringIndexer", "l_returnflag": "OneHotEncoder", "some": "None", "l_extendedprice": "StandardScaler", "absent": "None"}, "label")
     made = features.feature_stages(x, spec).fit(x).transform(x)
     return slots(made, ["l_orderkey", "l_linenumber", "l_suppkey"], ["priority", "flag_0", "flag_1", "flag_2", "flag_unknown", "quantity", "price"])
@@ -207,6 +208,7 @@ def automatic_vectors(spark, d):
     from pyspark.ml import Pipeline
 
     x = late_items(spark, d).select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_quantity") > 25).alias("is_big"), "l_quantity", "l_returnflag", F.to_date("o_orderdate").alias("ordered"), F.lit(0).alias("label"))
+    x = stored(x, "items")
     used = x.drop("l_orderkey", "l_linenumber", "l_suppkey")
     made = Pipeline(stages=features.auto_stages(used, "label", by_name=False)).fit(x).transform(x)
     return slots(made, ["l_orderkey", "l_linenumber", "l_suppkey"], ["is_big", "quantity", "flag", "year", "month", "day", "weekday", "unix"])
