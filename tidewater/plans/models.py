@@ -88,9 +88,9 @@ def automatic_features(spark, d):
     """ML-03, ML-04, ML-05, ML-09, UDF-02: stages by column type with dates, a selector and a scaler."""
     from pyspark.ml import Pipeline
 
-    x = labelled(spark, d).select("l_quantity", "l_discount", "l_returnflag", "o_orderdate", "label")
+    x = labelled_once(spark, d, "l_quantity", "l_discount", "l_returnflag", "o_orderdate")
     made = Pipeline(stages=features.auto_stages(x, "label", scaler="minmax", selector=("anova", 3))).fit(x).transform(x)
-    return made.select(F.explode(F.transform(F.arrays_zip(vector_to_array("features").alias("v"), F.sequence(F.lit(0), F.size(vector_to_array("features")) - 1).alias("i")), lambda s: s)).alias("s")).groupBy(F.col("s.i").alias("slot")).agg(F.count("*").alias("n"), F.min("s.v").alias("low"), F.max("s.v").alias("high"))
+    return made.select(F.posexplode(vector_to_array("features")).alias("slot", "v")).groupBy("slot").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 @query()
