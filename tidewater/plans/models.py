@@ -156,7 +156,7 @@ def quadratic_regression(spark, d):
 SELECT 'returned' AS feature, round(ln(p / (1 - p)) - ln(q / (1 - q)), 4) AS importance FROM g UNION ALL SELECT 'intercept', round(ln(q / (1 - q)), 4) FROM g""")
 def logistic_odds(spark, d):
     """ML-22, ML-28: a logistic model of one flag, whose optimum has a closed form: the logarithms of the odds."""
-    x = labelled(spark, d).withColumn("returned", flag(F.col("l_returnflag") == "R")).select("returned", "label")
+    x = labelled_once(spark, d, flag(F.col("l_returnflag") == "R").alias("returned"))
     _, points = features.extract(x, features.FeatureSpec({"returned": "None"}, "label"))
     found = training.importances(spark, training.train_final(points, "lr", tol=1e-12), ["returned"])
     return found.select("feature", F.round("importance", 4).alias("importance"))
