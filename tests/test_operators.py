@@ -94,6 +94,34 @@ def test_balanced_split(spark, n):
     assert rows(train.select("id")) == rows(again.select("id"))
 
 
+def test_balanced_split_by_ranks(spark):
+    """Against ranks by one sort, with bounds within a bucket (equal keys have one hash) and classes that count nowhere; each
+    side of the split reads the rows once, and both together twice more."""
+    read = spark.sparkContext.accumulator(0)
+    met = F.udf(lambda _: read.add(1) or True, "boolean").asNondeterministic()
+    data = [(i // 7, i % 3 if i % 11 else None) for i in range(3000)]
+    df = spark.createDataFrame(data, "id int, y int").filter(met("id")).repartition(3)
+    train, test = sampling.balanced_train_test(df, "y", ["id"], 0.6)
+    got = {part: sorted(map(tuple, x.collect())) for part, x in (("train", train), ("test", test))}
+    assert read.value == 4 * len(data)
+    u = {r["id"]: r["u"] for r in spark.range(3000).select("id", sampling.hashed(["id"], 42).alias("u")).collect()}
+    ranked = {y: sorted((r for r in data if r[1] == y), key=lambda r: (u[r[0]], r[0])) for y in (0, 1)}
+    p, n = len(ranked[1]), len(ranked[0])
+    k = int(p * 0.6)
+    assert got["train"] == sorted(ranked[1][:k] + ranked[0][:k]) and got["test"] == sorted(ranked[1][k:] + ranked[0][k : min(p, n)])
+    k = min(p, n)
+    assert sorted(map(tuple, sampling.balanced(df, "y", ["id"]).collect())) == sorted(ranked[1][:k] + ranked[0][:k])
+
+
+def test_partition_counts_of_the_frame_itself(spark):
+    read = spark.sparkContext.accumulator(0)
+    met = F.udf(lambda _: read.add(1) or True, "boolean").asNondeterministic()
+    df = spark.range(60).selectExpr("id", "id % 2 AS a", "id % 3 AS b", "nullif(id % 5, 0) AS c").filter(met("id"))
+    got = windows.partition_counts(df, {"na": "a", "nb": "b", "nc": "c", "nab": ["a", "b"]}).collect()
+    assert len(got) == 60 and {tuple(r)[4:] for r in got} == {(30, 20, 12, 10)}
+    assert read.value == 5 * 60  # once for the rows and once for each key
+
+
 def test_balanced_without_a_class(spark):
     df = spark.range(10).selectExpr("id", "0 AS y")
     train, test = sampling.balanced_train_test(df, "y", ["id"])

@@ -71,6 +71,16 @@ def test_to_holdout_metrics(spark, three_tables, tmp_path):
     assert not (tmp_path / "run").exists()
 
 
+def test_counts_on_demand(spark, three_tables):
+    flights, weather, airports = three_tables
+    whole = pipelines.preprocess_flights(flights, airports, weather)
+    made = ["flights_on_route", "carrier_flights", "origin_traffic", "route_popularity", "carrier_size"]
+    for wanted, there in (({"route_popularity"}, {"flights_on_route", "route_popularity"}), ({"origin_traffic", "carrier_size"}, {"origin_traffic", "carrier_flights", "carrier_size"}), ({"dep_hour"}, set())):
+        some = pipelines.preprocess_flights(flights, airports, weather, wanted)
+        assert set(whole.columns) - set(some.columns) == set(made) - there
+        assert sorted(map(tuple, some.select("unique_id", *sorted(there)).collect())) == sorted(map(tuple, whole.select("unique_id", *sorted(there)).collect()))
+
+
 def test_models_refuse_other_schemas(spark, tmp_path):
     df = spark.range(40).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id % 3 AS STRING) AS s", "id % 2 AS y")
     model = features.feature_stages(df, features.FeatureSpec({"x": "None", "s": "StringIndexer"}, "y")).fit(df)

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.plans import models, registry
+from tidewater.plans import flights, models, registry
 
 DATA = "/root/testdata/sf0.001"
 registry.load()
@@ -63,3 +63,22 @@ def test_joins_once(spark, monkeypatch, name):
     monkeypatch.setattr(models, "late_items", lambda s, d: joined(s, d).filter(met("l_orderkey")))
     registry.QUERIES[name](spark, DATA).collect()
     assert made.value == joined(spark, DATA).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["boosted_run_cells", "model_run_cells", "pipeline_features"])
+def test_prepares_once(spark, monkeypatch, name):
+    """Flights are prepared in one pass; observations are read for their stations and months, and once more to be prepared."""
+    read = {}
+    for side in ("flights", "weather"):
+        read[side] = spark.sparkContext.accumulator(0)
+
+        def counted(s, d, side=side, table=getattr(flights, side)):
+            met = F.udf(lambda _, n=read[side]: n.add(1) or True, "boolean").asNondeterministic()
+            df = table(s, d)
+            return df.filter(met(df.columns[0]))
+
+        monkeypatch.setattr(flights, side, counted)
+    registry.QUERIES[name](spark, DATA).collect()
+    monkeypatch.undo()
+    assert {side: n.value for side, n in read.items()} == {"flights": flights.flights(spark, DATA).count(), "weather": 2 * flights.weather(spark, DATA).count()}

@@ -3,9 +3,10 @@ key and a seed, so they don't depend on partitions or reruns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources import stored
 
 BITS = 60
 MAX_TOP = 100_000  # rows of a sample that one task may gather
@@ -50,41 +51,70 @@ def sample_n(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFram
 def balanced_train_test(df: DataFrame, label: str, keys: list[str], train_ratio: float = 0.75, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """SMP-02: positives split by ratio, as many negatives to each side; keys of both sides are disjoint.
     Rows rank by hash within a class, found by a threshold over counts by hash bucket, never by one sort."""
-    u = hashed(keys, seed)
-    counts = df.groupBy().agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n")).first()
-    pos, neg = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
-    n_train = int(counts["p"] * train_ratio)
-    n_test = counts["p"] - n_train
-    neg_train, neg_test = min(n_train, counts["n"]), min(n_test, max(0, counts["n"] - n_train))
-    parts = {"train": (pos, 0, n_train), "test": (pos, n_train, n_train + n_test)}, {"train": (neg, 0, neg_train), "test": (neg, neg_train, neg_train + neg_test)}
-    out = []
-    for side in ("train", "test"):
-        halves = [between_ranks(d, u, keys, *r) for d, *r in (p[side] for p in parts)]
-        out.append(halves[0].unionByName(halves[1]))
-    return out[0], out[1]
-
-
-def between_ranks(df: DataFrame, u: Column, keys: list[str], low: int, high: int, bits: int = 16) -> DataFrame:
-    """The rows whose rank by the hash ``u`` (ties by keys) is from ``low`` to below ``high``. Counts by bucket give
-    the two buckets in which the bounds fall; only those rows are ranked."""
-    from pyspark.sql import Window
+    u, group = hashed(keys, seed), _class(label)
+    counts = bucket_counts(df, group, u)
+    p, n = (class_sizes(counts).get(g, 0) for g in (1, 0))
+    n_train = int(p * train_ratio)
+    n_test = p - n_train
+    neg_train, neg_test = min(n_train, n), min(n_test, max(0, n - n_train))
+    sides = [[(1, 0, n_train), (0, 0, neg_train)], [(1, n_train, n_train + n_test), (0, neg_train, neg_train + neg_test)]]
+    train, test = parts_by_rank(df, group, u, keys, counts, sides)
+    return train, test
 
+
+def _class(label: str) -> Column:
+    return F.when(F.col(label) == 1, 1).when(F.col(label) == 0, 0)
+
+
+def bucket_counts(df: DataFrame, group: Column, u: Column, bits: int = 16) -> DataFrame:
+    """Rows by group and bucket of the hash ``u``, and those of the group's buckets before: one scan. It is read for each
+    part that ranks give, so it is stored. Rows of a null group count nowhere."""
+    counts = df.groupBy(group.alias("_g"), F.shiftright(u, BITS - bits).alias("_b")).agg(F.count("*").alias("_in")).filter("_g IS NOT NULL")
+    before = F.sum("_in").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_in")  # one row per bucket, 65,536 a group at most
+    return stored(counts.withColumn("_before", before), "bucket-counts")
+
+
+def class_sizes(counts: DataFrame) -> dict[int, int]:
+    return {r["_g"]: r["n"] for r in counts.groupBy("_g").agg(F.sum("_in").alias("n")).collect()}
+
+
+def parts_by_rank(df: DataFrame, group: Column, u: Column, keys: list[str], counts: DataFrame, parts: list[list[tuple[int, int, int]]], bits: int = 16) -> list[DataFrame]:
+    """For each part the rows whose rank in their group by the hash ``u`` (ties by keys) is in one of the part's ranges
+    (group, from, to below). Buckets give most rows; those of buckets in which a range's bound falls are ranked, for all parts
+    together, and stored, as they are few. So ``df`` is read once for these and once for each part."""
+    ranges = [(i, g, low, high) for i, some in enumerate(parts) for g, low, high in some if high > low]
+    if not ranges:
+        return [df.limit(0) for _ in parts]
+
+    def part(met) -> Column:
+        return F.coalesce(*[F.when((F.col("_g") == g) & met(low, high), i) for i, g, low, high in ranges])
+
+    end = F.col("_before") + F.col("_in")
+    found = counts.withColumn("_part", part(lambda low, high: (F.col("_before") >= low) & (end <= high)))
+    bounds = found.filter(F.col("_part").isNull() & part(lambda low, high: (F.col("_before") < high) & (end > low)).isNotNull())
+    marked = df.withColumns({"_g": group, "_b": F.shiftright(u, BITS - bits)})
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_g", "_b").orderBy(u, *keys)) - 1
+    ranked = marked.join(F.broadcast(bounds.drop("_part")), ["_g", "_b"]).withColumn("_r", rank).withColumn("_part", part(lambda low, high: (F.col("_r") >= low) & (F.col("_r") < high)))
+    few = stored(ranked.filter("_part IS NOT NULL").select(*df.columns, "_part"), "ranked")
+    take = lambda i: marked.join(F.broadcast(found.filter(F.col("_part") == i).select("_g", "_b")), ["_g", "_b"]).select(*df.columns)
+    return [take(i).unionByName(few.filter(F.col("_part") == i).select(*df.columns)) for i in range(len(parts))]
+
+
+def between_ranks(df: DataFrame, u: Column, keys: list[str], low: int, high: int) -> DataFrame:
+    """The rows whose rank by the hash ``u`` (ties by keys) is from ``low`` to below ``high``."""
     if high <= low:
         return df.limit(0)
-    bucket = F.shiftright(u, BITS - bits)
-    counts = df.groupBy(bucket.alias("_b")).count()
-    upto = counts.select("_b", (F.sum("count").over(Window.orderBy("_b")) - F.col("count")).alias("_before"), F.col("count").alias("_in"))  # one row per bucket, 65,536 at most
-    marked = df.withColumn("_b", bucket).join(F.broadcast(upto.filter((F.col("_before") < high) & (F.col("_before") + F.col("_in") > low))), "_b")
-    whole = (F.col("_before") >= low) & (F.col("_before") + F.col("_in") <= high)
-    cut = marked.filter(~whole).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(u, *keys)) - 1)
-    return marked.filter(whole).select(*df.columns).unionByName(cut.filter((F.col("_r") >= low) & (F.col("_r") < high)).select(*df.columns))
+    one = F.lit(0)
+    return parts_by_rank(df, one, u, keys, bucket_counts(df, one, u), [[(0, low, high)]])[0]
 
 
 def balanced(df: DataFrame, label: str, keys: list[str], seed: int = 42) -> DataFrame:
     """SMP-03: as many rows of each of the two classes as the smaller has."""
-    c = df.agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) == 0, 1)).alias("n")).first()
-    k, u = min(c["p"], c["n"]), hashed(keys, seed)
-    return between_ranks(df.filter(F.col(label) == 1), u, keys, 0, k).unionByName(between_ranks(df.filter(F.col(label) == 0), u, keys, 0, k))
+    u, group = hashed(keys, seed), _class(label)
+    counts = bucket_counts(df, group, u)
+    sizes = class_sizes(counts)
+    k = min(sizes.get(1, 0), sizes.get(0, 0))
+    return parts_by_rank(df, group, u, keys, counts, [[(1, 0, k), (0, 0, k)]])[0]
 
 
 def under_sample(df: DataFrame, label: str, fractions: dict, keys: list[str], seed: int = 42) -> DataFrame:

@@ -47,7 +47,9 @@ def with_edges(df: DataFrame, by: list[str], bucket: Column, before: dict[str, C
 
 def partition_counts(df: DataFrame, keys: dict[str, str | list[str]]) -> DataFrame:
     """WIN-01: how many rows share each key, as columns. Counts are aggregated and joined back, so a hot
-    key is combined before the shuffle."""
+    key is combined before the shuffle. All are of ``df`` itself: a count over the frame that has the counts before it would
+    make those again, twice as often with each key."""
+    out = df
     for name, key in keys.items():
         on = [key] if isinstance(key, str) else key
         counts = df.groupBy(*on).agg(F.count("*").alias(name))
@@ -55,8 +57,8 @@ def partition_counts(df: DataFrame, keys: dict[str, str | list[str]]) -> DataFra
         condition = F.lit(True)
         for c in on:
             condition &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-        df = df.join(same, condition, "left").drop(*[f"_{c}" for c in on])
-    return df
+        out = out.join(same, condition, "left").drop(*[f"_{c}" for c in on])
+    return out
 
 
 def first_in_hour(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:

@@ -39,8 +39,14 @@ class Experiment:
     reduce: str | None = None
 
 
-def preprocess_flights(flights: DataFrame, airports: DataFrame, weather: DataFrame | None = None) -> DataFrame:
-    """PIP-01: enrich with stations and offsets, clean, label flags, arrival, features."""
+#: Counts of rows that share a key, and the buckets made of them.
+COUNTS = {"flights_on_route": "route_id", "carrier_flights": "OP_CARRIER_AIRLINE_ID", "origin_traffic": "ORIGIN_AIRPORT_ID"}
+BUCKETS = {"route_popularity": "flights_on_route", "carrier_size": "carrier_flights"}
+
+
+def preprocess_flights(flights: DataFrame, airports: DataFrame, weather: DataFrame | None = None, wanted: set[str] | None = None) -> DataFrame:
+    """PIP-01: enrich with stations and offsets, clean, label flags, arrival, features. Where the columns ``wanted`` are
+    named, counts that none of them needs are not made: the planner drops unused columns by itself, but no joins."""
     roles = {"ORIGIN_AIRPORT_ID": "ORIGIN_", "DEST_AIRPORT_ID": "DEST_"}
     dim = airports.withColumn("WBAN", joins.padded_key("WBAN"))
     f = joins.enrich_roles(flights, dim, "AirportID", roles, {"WBAN": "WBAN", "TimeZone": "TIMEZONE"})
@@ -61,8 +67,10 @@ def preprocess_flights(flights: DataFrame, airports: DataFrame, weather: DataFra
     f = clean.with_columns(f, flags.period_flags("month", "day_of_month", "day_of_week", "dep_hour") | flags.cyclic("dep_hour_rounded", 24, "dep_hour") | flags.cyclic("week_of_year", 52, "week", start=1)
         | flags.trip_features("CRS_ELAPSED_TIME", "OP_CARRIER_AIRLINE_ID", "OP_CARRIER_FL_NUM", "ORIGIN_AIRPORT_ID", "DEST_AIRPORT_ID", "UTC_FL_DATE")
         | flags.place_features("ORIGIN_AIRPORT_ID", "DEST_AIRPORT_ID"))
-    f = windows.partition_counts(f, {"flights_on_route": "route_id", "carrier_flights": "OP_CARRIER_AIRLINE_ID", "origin_traffic": "ORIGIN_AIRPORT_ID"})
-    return clean.with_columns(f, flags.popularity("flights_on_route", "carrier_flights") | {"utc_hour_number": _hour_number("UTC_FL_DATE", clock.hour_of("UTC_CRS_DEP_TIME")), "utc_arr_hour_number": _hour_number("utc_arr_date", clock.hour_of("utc_arr_time"))})
+    counts = {n: k for n, k in COUNTS.items() if wanted is None or {n, *(b for b, c in BUCKETS.items() if c == n)} & wanted}
+    f = windows.partition_counts(f, counts)
+    popular = {b: c for b, c in flags.popularity("flights_on_route", "carrier_flights").items() if BUCKETS[b] in counts}
+    return clean.with_columns(f, popular | {"utc_hour_number": _hour_number("UTC_FL_DATE", clock.hour_of("UTC_CRS_DEP_TIME")), "utc_arr_hour_number": _hour_number("utc_arr_date", clock.hour_of("utc_arr_time"))})
 
 
 def _hour_number(date: str, hour) -> Column:
@@ -87,15 +95,21 @@ def preprocess_weather(weather: DataFrame, airports: DataFrame | None = None, fl
 
 def data_pipeline(flights: DataFrame, weather: DataFrame, airports: DataFrame, experiments: list[Experiment], out: str | None = None) -> tuple[DataFrame, DataFrame]:
     """PIP-03: both sides preprocessed, pruned to what the experiments use, stored if a folder is given and read from
-    there, so that what follows doesn't prepare them again."""
-    f = preprocess_flights(flights, airports, weather)
-    w = preprocess_weather(weather, airports, f)
-    f = clean.prune(f, [list(e.features) for e in experiments], ["unique_id", "ORIGIN_WBAN", "DEST_WBAN", "utc_hour_number", "utc_arr_hour_number", *sorted({e.target for e in experiments}), "month"])
-    w = clean.prune(w, [e.weather_features for e in experiments], ["WBAN", "hour_number"])
-    if out:
-        write_table(f, f"{out}/flights")
-        write_table(w, f"{out}/weather")
-        f, w = (f.sparkSession.read.parquet(f"{out}/{name}") for name in ("flights", "weather"))
+    there, so that what follows doesn't prepare them again. So are the stations by month that were observed, by which flights
+    are kept, and the pairs of stations that flights use, by which observations are: neither side is prepared for the other's sake."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if not out:
+            return df
+        write_table(df, f"{out}/{name}")
+        return df.sparkSession.read.parquet(f"{out}/{name}")
+
+    seen = kept(weather.select("WBAN", F.trunc("Date", "month").alias("Date")).distinct(), "observed")
+    essential = ["unique_id", "ORIGIN_WBAN", "DEST_WBAN", "utc_hour_number", "utc_arr_hour_number", *sorted({e.target for e in experiments}), "month"]
+    features = [list(e.features) for e in experiments]
+    f = kept(clean.prune(preprocess_flights(flights, airports, seen, set(essential).union(*features)), features, essential), "flights")
+    used = kept(f.select("ORIGIN_WBAN", "DEST_WBAN").distinct(), "used")
+    w = kept(clean.prune(preprocess_weather(weather, airports, used), [e.weather_features for e in experiments], ["WBAN", "hour_number"]), "weather")
     return f, w
 
 
